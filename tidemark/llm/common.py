@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,21 @@ def crc_mod(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)
 
 
+#: Keys that the rows of one group are dealt over where a value of the group is joined back to them.
+SALTS = 64
+
+
+def group_value(df: DataFrame, keys: list[str], column: str, part: Callable, whole: Callable, name: str) -> DataFrame:
+    """Adds name: an aggregate of column over the rows of equal keys, as part() by salt and whole() over the parts.
+
+    A hot group's rows are dealt over SALTS keys in the join too. Keys must not be null.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(column)), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(part(column).alias("_part"))
+    total = parts.groupBy(*keys).agg(whole("_part").alias(name))
+    return salted.join(parts.join(total, keys).select(*keys, "_salt", name), [*keys, "_salt"]).drop("_salt")
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal keys, from batches sorted by keys. Holds one batch and one run at most."""
     held: list[pa.RecordBatch] = []

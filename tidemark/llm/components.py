@@ -8,17 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stash
-
-SALTS = 64
-
+from .common import forget, group_value, stash
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Adds least: the smallest of u and its neighbours v. A hub's edges are dealt over SALTS keys."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    part = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
-    least = part.groupBy("u").agg(F.min("part").alias("least"))
-    return salted.join(part.join(least, "u").select("u", "salt", F.least("least", "u").alias("least")), ["u", "salt"]).select("u", "v", "least")
+    """Adds least: the smallest of u and its neighbours v."""
+    return group_value(edges, ["u"], "v", F.min, F.min, "least").withColumn("least", F.least("least", "u"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

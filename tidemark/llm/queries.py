@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from .ann import embedding_components
+from .common import fresh_path
+from .packing import pack_documents
 from .simhash import simhash_components
+from .tokens import token_counts
+from .warc import read_warc, write_warc
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +27,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=4096, end_id=1)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back from them."""
+    base = fresh_path(spark, "warc")
+    found = read_warc(write_warc(_table(spark, sf_dir, "pages"), base), base, payloads=False)
+    return found.select(found["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal labels linked at cosine 0.98 or more."""
+    return embedding_components(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    """Queries by name."""
+    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_warc, op7_token_counts, op8_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by name, for the queries that SQL can express."""
+    return {"op6_warc": OP6_SQL}
