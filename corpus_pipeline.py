@@ -1,16 +1,68 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing. STAGES is filled as stages land."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import ship, stash
+from tidemark.llm.decontam import decontaminate
+from tidemark.llm.langid import drop_unknown
+from tidemark.llm.neardup import drop_near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.pii import redact
+
+VOCABULARY = "word_bpe_49k.json"
+SEQUENCE = 4096
+END_ID = 1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without any letter go."""
+    ship(spark)
+    return drop_unknown(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
+    return drop_near_duplicates(docs, shingle=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked and n_chars of the text as it is now."""
+    names = docs.columns
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    ship(spark)
+    return pack_documents(docs, public_tokenizers.path(VOCABULARY), capacity=SEQUENCE, end_id=END_ID)
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
 
-STAGES: list = []
+#: No SQL: tokens, linear machines and edit distances aren't expressible.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES in order to documents."""
+    """Applies STAGES in order to documents, each one's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stash(docs, f"stage-{name}")
     return docs

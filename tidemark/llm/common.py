@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,6 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark-package.zip")  # the driver serves it to the executors
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(top, "tidemark")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, top))
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(app)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other call uses."""
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .ann import embedding_components
-from .common import fresh_path
+from .common import fresh_path, ship
+from .decontam import contamination
+from .langid import language_id
+from .licenses import license_scan
 from .packing import pack_documents
+from .pii import personal_data
+from .ppm import ppm_scores
 from .simhash import simhash_components
 from .tokens import token_counts
 from .warc import read_warc, write_warc
@@ -19,6 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,11 +33,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), capacity=4096, end_id=1)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, within a budget of edits."""
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of every document, and the word baseline."""
+    return ppm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back from them."""
     base = fresh_path(spark, "warc")
@@ -60,9 +81,19 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_simhash, op3_packing, op6_warc, op7_token_counts, op8_embeddings)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_packing, op4_decontamination, op5_ppm, op6_warc, op7_token_counts, op8_embeddings, op9_language_id, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
