@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ class Encoder:
             special = [re.escape(t["content"]) for t in spec["added_tokens"]]
             self._special = re.compile("|".join(special)) if special else None
             self.single = self._proven(tok) if self.shortcut else {}
-        self._merged: dict[str, bytes] = _Merged(self._pack, self.single)
+        self._merged: dict[str, bytes] = _Merged(_merger(tok) if self.shortcut else self._pack, self.single)
 
     @staticmethod
     def _applies(spec: dict) -> bool:
@@ -91,6 +92,24 @@ class Encoder:
         return len(self._library(text)) if pieces is None else sum(map(len, map(self._merged.__getitem__, pieces))) // 4
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible bytes stand for themselves, the others for the letters from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _merger(tok):
+    """Ids of one plain pre-token, by the library's merges alone: such a pre-token is normal already and isn't cut further."""
+    letters, merge = _byte_letters(), tok.model.tokenize
+
+    def ids(piece: str) -> bytes:
+        word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in merge(word)]).tobytes()
+
+    return ids
+
+
 class _Merged(dict):
     """Ids by pre-token: the proven ones, and those merged so far."""
 
