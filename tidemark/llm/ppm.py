@@ -12,6 +12,7 @@ to shorter contexts. Word counts for the baseline are never pruned. They go to t
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +27,7 @@ from .common import crc_mod, stash
 ORDER = 5
 NODES = 2_000_000
 #: Rows of a run: its distinct words are in memory together, its texts aren't.
-RUN = 16_384
+RUN = 8_192
 #: Words that a task counts before it passes the counts on.
 HELD = 500_000
 END = 0xFF  # no byte of UTF-8
@@ -86,8 +87,9 @@ class Trie:
                     left, again = np.log10(room), np.where(new > 0, np.log10(new) - np.log10(room), 0.0)
                 else:  # the uniform choice among symbols that are new everywhere
                     left, again = np.log10(np.maximum(256 - kinds, 1)), np.zeros(len(ctx))
-            self.entry.append((own, np.log10(n), np.log10(n) - np.log10((total + kinds)[at])))
+            self.entry.append((own, np.log10(n).astype(np.float32), (np.log10(n) - np.log10((total + kinds)[at])).astype(np.float32)))
             self.context.append((ctx, np.log10(kinds) - np.log10(total + kinds), left, again, total, kinds))
+        self.context = [(c[0], *(x.astype(np.float32) for x in c[1:4])) for c in self.context]
         self._hash()
 
     def _hash(self) -> None:
@@ -108,6 +110,8 @@ class Trie:
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's symbol after its context."""
+        if not len(self.entry[0][0]):
+            return np.full(len(codes), -np.log10(256.0))
         out = np.zeros(len(codes))
         rest, at = np.arange(len(codes)), self._slot(codes)
         missing = []
@@ -130,7 +134,7 @@ class Trie:
         below, node = np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=np.int64)  # whether an escape led here, and from which context
         for order in range(ORDER, -1, -1):
             own, logs, top = self.entry[order]
-            ctx, escape, *_ = self.context[order]
+            ctx, escape, _, _ = self.context[order]
             code = codes & ((1 << 8 * (order + 1)) - 1)
             e = np.minimum(np.searchsorted(own, code), len(own) - 1)
             c = np.minimum(np.searchsorted(ctx, code >> 8), len(ctx) - 1)
@@ -140,7 +144,7 @@ class Trie:
             out[first & ~seen] += escape[c[first & ~seen]]
             later = ~done & below
             if order < ORDER:
-                _, _, left, again, *_ = self.context[order + 1]
+                _, _, left, again = self.context[order + 1]
                 out[later & seen] += logs[e[later & seen]] - left[node[later & seen]]
                 out[later & ~seen] += again[node[later & ~seen]]
             done |= (first | later) & seen
@@ -206,13 +210,25 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("run", "held", "t").mapInArrow(run, "kind int, run long, key long, n long")
 
 
-def _trie(spark, codes: DataFrame, nodes: int) -> Trie:
-    """The trie of codes (key, n), pruned to nodes entries at most by the lowest count that fits."""
+def _pruned(codes: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the trie, pruned to nodes entries at most by the lowest count that fits."""
     steps = [1 << i for i in range(40)]
     above = codes.agg(*[F.count_if(F.col("n") >= s).alias(f"a{s}") for s in steps]).first()
     least = next((s for s, n in zip(steps, above, strict=True) if n <= nodes), steps[-1])
-    got = codes.where(F.col("n") >= least).select("key", "n").toPandas()  # nodes rows at most
-    return Trie(got["key"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.float64))
+    got = codes.where(F.col("n") >= least).select("key", "n").toArrow()  # nodes rows at most
+    return got["key"].to_numpy(), got["n"].to_numpy()
+
+
+_tries: dict[str, Trie] = {}
+
+
+def _trie(name: str, sent) -> Trie:
+    """This process's trie of broadcast codes and counts; one is kept."""
+    if name not in _tries:
+        _tries.clear()
+        keys, counts = sent.value
+        _tries[name] = Trie(keys, counts.astype(np.float64))
+    return _tries[name]
 
 
 def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
@@ -236,7 +252,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted = stash(_counted(rows), "counts")
     codes = stash(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "codes")
-    trie = spark.sparkContext.broadcast(_trie(spark, codes, nodes))
+    sent, name = spark.sparkContext.broadcast(_pruned(codes, nodes)), uuid.uuid4().hex
     words = counted.where("kind = 0")
     totals = stash(words.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
     tokens, distinct = (int(x) for x in totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
@@ -249,7 +265,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs, now = trie.value, _Logs(), None
+        model, logs, now = _trie(name, sent), _Logs(), None
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
