@@ -1,8 +1,9 @@
 """Best-fit packing with certified bounds.
 
 Documents are dealt into groups of bounded size, and each group is packed by best-fit decreasing. Dual feasible functions bound
-each group's bin count from below; a group that meets its bound is certified. Groups with a gap put the documents of their
-unfilled sequences into a pool, which is dealt into fewer groups and packed again, as long as that saves sequences.
+the sequences of each group and of all lengths together from below. As long as there is a gap, the documents of the groups'
+unfilled sequences are exchanged: they go into a pool, which is dealt into fewer, larger groups and packed again, if that saves
+sequences.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from .common import stash, whole_groups
 from .tokens import encoder
 
-#: Pieces that one group holds about.
+#: Pieces that one group holds about in the first round; in each later one GROWTH times as many.
 GROUP = 8192
+GROWTH = 4
 ROUNDS = 4
 
 
@@ -43,11 +45,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, count
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs at least: the best of several dual feasible functions of the lengths."""
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing needs at least: the best of several dual feasible functions of the lengths. counts: how often each length is there."""
     if not len(lengths):
         return 0
-    size, n = np.unique(lengths, return_counts=True)
+    size, n = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     size, n = size.astype(np.int64), n.astype(np.int64)
     best = -(-int((size * n).sum()) // capacity)
     for least in size[size * 2 <= capacity].tolist():  # items over capacity - least count as whole, items under least as nothing
@@ -72,6 +74,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacit
                 rows += [(doc, k, at // 4, len(part) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step)) for part in [ids[at : at + step]]]
             names, kinds = ("id", "piece", "start", "length", "ids_crc32"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=names)
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -101,30 +104,31 @@ def _packed(rows: DataFrame, groups: int, capacity: int, salt: int) -> DataFrame
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """(row, sequence_id, offset) for items (row, length): row is a distinct long, length from 1 to capacity."""
-    count = items.count()
-    done, pool, before = [], items, None
+    """(row, sequence_id, offset) for items (row, length): row is a distinct long, length from 1 to capacity.
+
+    The rounds end when all sequences together meet the bound of all lengths, or when a round saves none.
+    """
+    lengths = items.groupBy("length").count().toPandas()  # capacity rows at most
+    count, needed = int(lengths["count"].sum()), lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
+    done, full, pool, before = [], 0, items, None
     for turn in range(ROUNDS):
-        groups = max(1, -(-count // GROUP))
+        groups = max(1, -(-count // (GROUP * GROWTH**turn)))
         now = stash(_packed(pool, groups, capacity, turn), "packed")
-        bins, bound = now.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("bound"), F.lit(0))).first()
+        used, bound = (int(x) for x in now.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("bound"), F.lit(0))).first())
         named = now.withColumn("sequence_id", F.lit(turn << 60) + F.shiftleft("g", 24) + F.col("bin"))
-        if before is not None and bins >= before[1]:  # nothing saved: what was there stays
+        if before is not None and used >= before[1]:  # nothing saved: what was there stays
             done.append(before[0])
             break
-        gaps = now.groupBy("g").agg(F.sum("bins").alias("has"), F.sum("bound").alias("needs")).where("has > needs").select("g")
-        loose = F.col("fill") < capacity
-        if bins == bound or groups == 1 or turn == ROUNDS - 1:
+        if full + used <= needed or groups == 1 and used == bound or turn == ROUNDS - 1:
             done.append(named)
             break
-        marked = stash(named.join(gaps.withColumn("gap", F.lit(True)), "g", "left").withColumn("pooled", F.coalesce("gap", F.lit(False)) & loose), "packed")
-        done.append(marked.where("not pooled"))
-        pool = marked.where("pooled")
-        count, used = pool.agg(F.count("*"), F.count_distinct("sequence_id")).first()
+        # a group may meet its own bound and still have room that another one's documents would fill
+        loose = named.where(F.col("fill") < capacity)
+        done.append(named.where(F.col("fill") == capacity))
+        count, left = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if not count:
             break
-        before = (pool, used)
-        pool = pool.select("row", "length")
+        full, before, pool = full + used - left, (loose, left), loose.select("row", "length")
     out = done[0].select("row", "sequence_id", "offset")
     for more in done[1:]:
         out = out.unionByName(more.select("row", "sequence_id", "offset"))
