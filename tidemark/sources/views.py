@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def epoch(column: str) -> Column:
     """Seconds since 1970 of a timestamp without zone."""
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} AS TIMESTAMP_NTZ))")
+    t = F.col(column).cast("timestamp_ntz")
+    return F.unix_date(t.cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

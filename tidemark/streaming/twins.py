@@ -63,6 +63,6 @@ def _finish(q: StreamingQuery) -> None:
 
 def line_protocol(rows: DataFrame, measurement: str, tags: list[str], fields: list[str], time: str) -> DataFrame:
     """Points as lines of text: measurement,tags fields time."""
-    tag = F.concat_ws(",", F.lit(measurement), *[F.concat(F.lit(f"{t}="), F.regexp_replace(F.col(t).cast("string"), "([ ,=])", r"\\\\$1")) for t in tags])
+    tag = F.concat_ws(",", F.lit(measurement), *[F.concat(F.lit(f"{t}="), F.regexp_replace(F.col(t).cast("string"), "([ ,=])", r"\\$1")) for t in tags])
     value = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields])
     return rows.select(F.concat_ws(" ", tag, value, F.col(time).cast("string")).alias("line"))
