@@ -24,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts are large, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application, so that it need not be installed there."""
+    """Sends this package to the Python workers, once for each application, so that it need not be installed there; where the session
+    has Spark's default of 10000 rows for an Arrow batch, it gets BATCH_ROWS."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Merged pre-tokens that a worker remembers before it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer pre-tokens are merged again each time.
 LONGEST = 64
 
@@ -74,8 +74,11 @@ class Encoder:
         """Pre-tokens that the library encodes alone as one token."""
         plain = {i: tok.id_to_token(i) for i in range(tok.get_vocab_size())}
         words = sorted({m for t in plain.values() if t for m in [t.removesuffix("</w>").lower()] if _PIECE.fullmatch(m)})
-        found = tok.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found, strict=True) if len(e.ids) == 1}
+        proven = {}
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            proven |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True) if len(e.ids) == 1}
+        return proven
 
     def pieces(self, text: str) -> list[str] | None:
         """The text's pre-tokens, or None if only the library may cut it."""
@@ -83,6 +86,10 @@ class Encoder:
             return None
         return _PIECE.findall(text.lower())
 
+    def forget(self) -> None:
+        """Drops the merged pre-tokens, so that an idle worker doesn't hold them."""
+        self._merged.reset()
+
     def ids(self, text: str) -> bytes:
         pieces = self.pieces(text)
         return self._pack(text) if pieces is None else b"".join(map(self._merged.__getitem__, pieces))
@@ -117,12 +124,15 @@ class _Merged(dict):
         super().__init__(proven)
         self._merge, self._proven = merge, proven
 
+    def reset(self) -> None:
+        self.clear()
+        self.update(self._proven)
+
     def __missing__(self, piece: str) -> bytes:
         ids = self._merge(piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED + len(self._proven):
-                self.clear()
-                self.update(self._proven)
+                self.reset()
             self[piece] = ids
         return ids
 
@@ -150,5 +160,6 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             n = pa.array([enc.count(t) if t else 0 for t in b.column(1).to_pylist()], type=pa.int64())
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+        enc.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
