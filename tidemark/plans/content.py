@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..sources import views
+from ..sources.shipping import ship
 from ..sources.views import oracle
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
