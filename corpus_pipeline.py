@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship, stash
+from tidemark.llm.common import prepare, stash
 from tidemark.llm.decontam import decontaminate
 from tidemark.llm.langid import drop_unknown
 from tidemark.llm.neardup import drop_near_duplicates
@@ -23,19 +23,19 @@ END_ID = 1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without any letter go."""
-    ship(spark)
+    prepare(spark)
     return drop_unknown(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    ship(spark)
+    prepare(spark)
     return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship(spark)
+    prepare(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences."""
-    ship(spark)
+    prepare(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY), capacity=SEQUENCE, end_id=END_ID)
 
 

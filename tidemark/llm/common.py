@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
@@ -23,29 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_shipped: set[str] = set()
 #: Rows of an Arrow batch: texts are large, and a worker holds a batch and what it makes of it.
 BATCH_ROWS = "1000"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application, so that it need not be installed there; where the session
-    has Spark's default of 10000 rows for an Arrow batch, it gets BATCH_ROWS."""
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the Python workers; where the session has Spark's default of 10000 rows for an Arrow batch, it gets BATCH_ROWS."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    out = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark-package.zip")  # the driver serves it to the executors
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(top, "tidemark")):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    path = os.path.join(folder, n)
-                    z.write(path, os.path.relpath(path, top))
-    spark.sparkContext.addPyFile(out)
-    _shipped.add(app)
+    ship(spark)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -1,8 +1,8 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines within it.
 
 Features are hashed byte n-grams of whole texts in lower case, as square roots of their shares, over their length. Models are
-fitted on the driver from a bounded sample of labelled rows (PER_LANGUAGE texts of TRAIN_CHARS characters at most, for the
-MOST_LANGUAGES most frequent labels); prediction reads every text whole.
+fitted on the driver from a bounded sample of labelled rows (for the MOST_LANGUAGES most frequent labels PER_LANGUAGE texts each, TRAIN_ROWS
+in all, of TRAIN_CHARS characters at most); prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from .common import crc_mod
 BUCKETS = 4096
 PER_LANGUAGE = 400
 MOST_LANGUAGES = 200
-TRAIN_CHARS = 20_000
+TRAIN_ROWS = 16_000
+TRAIN_CHARS = 10_000
 EPOCHS = 25
 UNKNOWN = "und"
 
@@ -150,8 +151,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, TRAIN_ROWS // len(counts)))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, math.ceil((1 << 40) * 1.6 * (per_language + 20) / n)))])
+    rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << 40, math.ceil((1 << 40) * (1.5 * per_language + 20) / n)))])
     near = rows.where(place < rate[F.col("lang")]).select("lang", place.alias("h"), "id", F.left("t", F.lit(TRAIN_CHARS)).alias("t"))
     by = defaultdict(list)
     for r in sorted(near.collect(), key=lambda r: (r["lang"], r["h"], r["id"])):

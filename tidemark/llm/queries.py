@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .ann import embedding_components
-from .common import fresh_path, ship
+from .common import fresh_path, prepare
 from .decontam import contamination
 from .langid import language_id
 from .licenses import license_scan
@@ -24,7 +24,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
