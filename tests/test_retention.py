@@ -69,3 +69,49 @@ def test_null_flags_and_empty(spark):
     assert plan(spark.createDataFrame([], schema), Keep(last=1)).count() == 0
     out = plan(spark.createDataFrame([("vm", "1", 5, None, None), ("vm", "1", 4, True, None)], schema), Keep(last=1)).collect()
     assert {r["time"]: r["mark"] for r in out} == {5: "keep-partial", 4: "keep"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_against_the_rules_one_by_one(spark, seed):
+    """Random groups, many of them dense within hours, against a plain loop over each group."""
+    import random
+    from datetime import timedelta
+
+    rng = random.Random(seed)
+    keep = Keep(**{f: rng.randrange(0, 4) for f in ("last", "hourly", "daily", "weekly", "monthly", "yearly")})
+    start = datetime(2019, 12, 20, tzinfo=timezone.utc)
+    rows = []
+    for g in range(25):
+        step = rng.choice([300, 4000, 90000, 900000])
+        times = {int((start + timedelta(seconds=rng.randrange(step * 25))).timestamp()) for _ in range(rng.randrange(1, 25))}
+        rows += [("vm", str(g), t, rng.random() > 0.15, rng.random() < 0.15) for t in times]
+
+    def names(rule, t):
+        d = datetime.fromtimestamp(t, timezone.utc)
+        return {"last": t, "hourly": d.strftime("%Y%m%d%H"), "daily": d.strftime("%Y%m%d"), "weekly": d.isocalendar()[:2], "monthly": d.strftime("%Y%m"), "yearly": d.year}[rule]
+
+    want = {}
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: -r[2])
+        mark: dict[int, str] = {}
+        for i, (_, _, t, finished, _) in enumerate(own):
+            if not finished:
+                mark[t] = "keep-partial" if i == 0 else "remove"
+        for rule, n in keep.rules():
+            used = {names(rule, t) for t, m in mark.items() if m == "keep"}
+            taken: list = []
+            for _, _, t, _, protected in own:
+                p = names(rule, t)
+                if t in mark or protected or p in used:
+                    continue
+                if p not in taken:
+                    if len(taken) >= n:
+                        break
+                    taken.append(p)
+                    mark[t] = "keep"
+                else:
+                    mark[t] = "remove"
+        for _, _, t, _, protected in own:
+            want[g, t] = "protected" if protected else mark.get(t, "remove") if keep.rules() else "keep"
+    out = plan(spark.createDataFrame(rows, "type string, id string, time long, finished boolean, protected boolean"), keep)
+    assert {(r["id"], r["time"]): r["mark"] for r in out.collect()} == want

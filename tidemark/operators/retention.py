@@ -2,7 +2,12 @@
 
 Rules run one after the other over each group, newest first. A rule keeps the first open snapshot of each new period until it has
 kept its number of periods; later open snapshots of a kept period go. Periods that an earlier rule has kept don't count again.
-Protected snapshots never use up a rule's number. All windows share one partitioning, so a plan has one shuffle.
+Protected snapshots never use up a rule's number.
+
+Only few snapshots can be kept at all: since longer periods are made of whole hours, what a rule keeps is the newest open snapshot of its
+hour, or one of the newest that the rule for the last ones asks for. The others of an hour go and change nothing for the rest. So snapshots
+are first thinned by group and hour, and the rules run over what is left, which is bounded by the hours of a group and not by its
+snapshots; a group that holds a large share of all rows is dealt out by hour.
 """
 
 from __future__ import annotations
@@ -51,23 +56,30 @@ def plan(snapshots: DataFrame, keep: Keep, group: tuple[str, ...] = ("type", "id
     Without any rule everything is kept. Of unfinished snapshots only the newest of a group stays (keep-partial), others go.
     Equal times in a group are one period of every rule, ordered as they come.
     """
-    newest = Window.partitionBy(*group).orderBy(F.col(time).desc())
     shield = F.coalesce(F.col(protected), F.lit(False))
     if not keep.keeps_something():
         return snapshots.withColumn("mark", F.when(shield, "protected").otherwise("keep"))
     done = F.coalesce(F.col(finished), F.lit(False))
-    out = snapshots.withColumn("mark", F.when(~done, F.when(F.row_number().over(newest) == 1, "keep-partial").otherwise("remove")))
+    down = F.col(time).desc()
+    out = snapshots.withColumn("_hour", period("hourly", F.col(time))).withColumn("_able", done & ~shield)
+    place = F.row_number().over(Window.partitionBy(*group, "_hour").orderBy(down))
+    among = F.row_number().over(Window.partitionBy(*group, "_hour", "_able").orderBy(down))
+    out = out.withColumn("_runs", (place == 1) | (F.col("_able") & (among <= max(1, keep.last or 0))))
+    out = out.withColumn("_part", F.when(~F.col("_runs"), F.col("_hour")))  # null: those that the rules run over, together
+    of = (*group, "_part")
+    newest = Window.partitionBy(*of).orderBy(down)
+    out = out.withColumn("mark", F.when(~done, F.when(F.col("_runs") & (F.row_number().over(newest) == 1), "keep-partial").otherwise("remove")))
     for rule, count in keep.rules():
         pid = "_period"
         out = out.withColumn(pid, period(rule, F.col(time)))
-        used = F.max((F.col("mark") == "keep").cast("int")).over(Window.partitionBy(*group, pid))
-        out = out.withColumn("_open", F.col("mark").isNull() & ~shield & (F.coalesce(used, F.lit(0)) == 0))
-        out = out.withColumn("_first", F.col("_open") & (F.row_number().over(Window.partitionBy(*group, pid, "_open").orderBy(F.col(time).desc())) == 1))
+        used = F.max((F.col("mark") == "keep").cast("int")).over(Window.partitionBy(*of, pid))
+        out = out.withColumn("_open", F.col("_runs") & F.col("mark").isNull() & ~shield & (F.coalesce(used, F.lit(0)) == 0))
+        out = out.withColumn("_first", F.col("_open") & (F.row_number().over(Window.partitionBy(*of, pid, "_open").orderBy(down)) == 1))
         out = out.withColumn("_kept", F.sum(F.col("_first").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
         chosen = F.when(F.col("_first"), "keep").otherwise("remove")
         out = out.withColumn("mark", F.when(F.col("_open") & (F.col("_kept") <= count), chosen).otherwise(F.col("mark")))
     mark = F.when(shield, "protected").otherwise(F.coalesce("mark", F.lit("remove")))
-    return out.withColumn("mark", mark).drop("_period", "_open", "_first", "_kept")
+    return out.withColumn("mark", mark).drop("_period", "_open", "_first", "_kept", "_hour", "_able", "_runs", "_part")
 
 
 def first_per_period(rows: DataFrame, group: tuple[str, ...], time: str, rule: str, count: int) -> DataFrame:
