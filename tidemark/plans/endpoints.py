@@ -49,9 +49,9 @@ def list_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configured drives with what a device scan and the changers' state know of them."""
     s, key = views.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    drives = s.where(key % 4 == 0).select(F.col("s_name").alias("drive"), key.alias("serial"))
-    scan = s.where(key % 8 == 0).select(key.alias("serial"), F.concat(F.lit("vendor"), (key % 3).cast("string")).alias("vendor"))
-    state = s.where(key % 12 == 0).select(key.alias("serial"), F.lit("busy").alias("state"))
+    drives = s.where("s_acctbal > 5000").select(F.col("s_name").alias("drive"), key.alias("serial"))
+    scan = s.where("s_acctbal > 7000").select(key.alias("serial"), F.concat(F.lit("vendor"), (key % 3).cast("string")).alias("vendor"))
+    state = s.where("s_acctbal > 9000").select(key.alias("serial"), F.lit("busy").alias("state"))
     return drives.join(scan, "serial", "left").join(state, "serial", "left").select("drive", "serial", "vendor", "state")
 
 
@@ -73,14 +73,14 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _disks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("disk"), F.col("p_size").cast("long").alias("size"))
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("disk"), F.col("p_size").cast("long").alias("size"), "p_type", "p_brand")
 
 
 def disk_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disks by their use; a mounted one counts as mounted whatever else it is."""
     d = _disks(spark, sf_dir)
-    flags = {"mounted": d.where("disk % 7 = 0"), "lvm": d.where("disk % 5 = 0"), "zfs": d.where("disk % 3 = 0"), "partitions": d.where("disk % 2 = 0"), "filesystem": d.where("size > 40")}
-    return host.disk_usage(d, flags)
+    flags = {"mounted": d.where("p_type = 'SMALL'"), "lvm": d.where("p_brand = 'Brand#1'"), "zfs": d.where("p_type = 'LARGE'"), "partitions": d.where("size < 20"), "filesystem": d.where("size > 40")}
+    return host.disk_usage(d.select("disk", "size"), flags)
 
 
 def partition_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def package_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages of a section with the missing ones that they need."""
     p = views.table(spark, sf_dir, "part")
     name = lambda k: F.concat(F.lit("pkg"), k.cast("string"))
-    installed = p.where("p_partkey % 3 <> 0").select(name(F.col("p_partkey")).alias("package"), F.col("p_size").cast("string").alias("version"), F.col("p_brand").alias("section"))
+    installed = p.where("p_type <> 'PROMO'").select(name(F.col("p_partkey")).alias("package"), F.col("p_size").cast("string").alias("version"), F.col("p_brand").alias("section"))
     candidates = p.select(name(F.col("p_partkey")).alias("package"), (F.col("p_size") + 1).cast("string").alias("candidate"))
     needs = p.select(name(F.col("p_partkey")).alias("package"), name(F.col("p_partkey") + 2).alias("needs"))
     return host.packages(installed, candidates, needs, F.col("section") == "Brand#3")
@@ -225,13 +225,13 @@ ORACLE = {
     "list_jobs": oracle("v_tasks", ctes=_CONFIG) + """, t AS (SELECT split_part(worker_id, ':', 1) AS store, worker_type, max(start) AS last FROM v_tasks GROUP BY 1, 2),
 j AS (SELECT *, 'store' || (key % 5) AS store, CASE kind WHEN 'sync' THEN 'syncjob' WHEN 'prune' THEN 'prunejob' ELSE 'verificationjob' END AS worker_type FROM c WHERE kind IN ('sync', 'prune', 'verify'))
 SELECT name, kind, store, last, CASE WHEN NOT disabled THEN (coalesce(last, 0) // 86400 + 1) * 86400 END AS next_run FROM j LEFT JOIN t USING (store, worker_type)""",
-    "list_drives": "SELECT s_name AS drive, s_suppkey AS serial, CASE WHEN s_suppkey % 8 = 0 THEN 'vendor' || (s_suppkey % 3) END AS vendor, CASE WHEN s_suppkey % 12 = 0 THEN 'busy' END AS state FROM supplier WHERE s_suppkey % 4 = 0",
+    "list_drives": "SELECT s_name AS drive, s_suppkey AS serial, CASE WHEN s_acctbal > 7000 THEN 'vendor' || (s_suppkey % 3) END AS vendor, CASE WHEN s_acctbal > 9000 THEN 'busy' END AS state FROM supplier WHERE s_acctbal > 5000",
     "notification_values": f"WITH {_CONFIG} SELECT CASE kind WHEN 'datastore' THEN 'datastore' WHEN 'pool' THEN 'media-pool' ELSE 'job-id' END AS field, name AS value FROM c WHERE kind IN ('datastore', 'sync', 'prune', 'verify', 'tape-job', 'pool') UNION ALL SELECT * FROM (VALUES ('hostname', 'localhost'), ('type', 'gc'), ('type', 'prune'), ('type', 'sync'), ('type', 'verify')) v(f, v)",
     "versions": "WITH p AS (SELECT p_brand AS package, max(CAST(p_size AS VARCHAR)) AS version FROM part WHERE p_size <= 2 GROUP BY 1), f AS (SELECT * FROM (VALUES ('Brand#1', 0), ('Brand#2', 1), ('kernel', 2)) v(package, place)) SELECT package, coalesce(version, 'unknown') AS version, coalesce(place, 1000) AS place FROM p FULL JOIN f USING (package)",
-    "disk_usage": "SELECT p_partkey AS disk, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 7 = 0 THEN 'mounted' WHEN p_partkey % 5 = 0 THEN 'lvm' WHEN p_partkey % 3 = 0 THEN 'zfs' WHEN p_partkey % 2 = 0 THEN 'partitions' WHEN p_size > 40 THEN 'filesystem' ELSE 'unused' END AS usage FROM part",
+    "disk_usage": "SELECT p_partkey AS disk, CAST(p_size AS BIGINT) AS size, CASE WHEN p_type = 'SMALL' THEN 'mounted' WHEN p_brand = 'Brand#1' THEN 'lvm' WHEN p_type = 'LARGE' THEN 'zfs' WHEN p_size < 20 THEN 'partitions' WHEN p_size > 40 THEN 'filesystem' ELSE 'unused' END AS usage FROM part",
     "partition_use": "SELECT p_partkey AS disk, CAST(p_size % 6 AS BIGINT) AS type_id, CASE p_size % 6 WHEN 1 THEN 'bios' WHEN 2 THEN 'efi' WHEN 3 THEN 'zfs reserved' ELSE CASE WHEN p_partkey % 4 = 0 THEN 'filesystem' ELSE 'unused' END END AS use FROM part",
-    "package_list": """WITH i AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS version FROM part WHERE p_partkey % 3 <> 0 AND p_brand = 'Brand#3'),
-m AS (SELECT DISTINCT k + 2 AS k FROM i WHERE k + 2 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)), u AS (SELECT k, version FROM i UNION ALL SELECT k, NULL FROM m)
+    "package_list": """WITH i AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS version FROM part WHERE p_type <> 'PROMO' AND p_brand = 'Brand#3'),
+m AS (SELECT DISTINCT k + 2 AS k FROM i WHERE k + 2 NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'PROMO')), u AS (SELECT k, version FROM i UNION ALL SELECT k, NULL FROM m)
 SELECT 'pkg' || k AS package, version, CAST(p_size + 1 AS VARCHAR) AS candidate FROM u LEFT JOIN part ON k = p_partkey""",
     "journal_range": oracle("v_tasks") + f"SELECT task, start FROM v_tasks WHERE worker_type = 'backup' AND start BETWEEN {NOW - 20 * 86400} AND {NOW - 10 * 86400} ORDER BY start, task LIMIT 40",
     "journal_after": oracle("v_tasks") + f"SELECT task, start FROM v_tasks WHERE (start, task) > ({NOW - 15 * 86400}, 0) ORDER BY start, task LIMIT 25",

@@ -81,7 +81,7 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a metric export."""
-    m = views.metrics(spark, sf_dir).where("n % 100 = 0").select("name", F.col("n").alias("id"), "ts")
+    m = views.metrics(spark, sf_dir).select("name", F.col("n").alias("id"), "ts")
     return twins.line_protocol(m, "events", ["name"], ["id"], "ts")
 
 
@@ -106,5 +106,5 @@ SELECT DISTINCT task, target FROM (SELECT task, 'mail' AS target FROM x WHERE s
     "notification_queue": oracle("v_tasks") + "SELECT task, row_number() OVER (PARTITION BY start // 86400 ORDER BY start, task) AS turn FROM v_tasks",
     "stream_dedup": "SELECT DISTINCT user_id || '/' || event_type AS key FROM events",
     "stream_rollup": "SELECT event_type, CAST(epoch(time_bucket(INTERVAL '6 hours', ts)) AS BIGINT) AS start, round(avg(value), 6) AS average, round(max(value), 6) AS maximum, count(*) AS n FROM events GROUP BY 1, 2",
-    "metric_lines": oracle("v_metrics") + "SELECT 'events,name=' || name || ' id=' || n || ' ' || ts AS line FROM v_metrics WHERE n % 100 = 0",
+    "metric_lines": oracle("v_metrics") + "SELECT 'events,name=' || name || ' id=' || n || ' ' || ts AS line FROM v_metrics",
 }

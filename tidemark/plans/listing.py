@@ -34,8 +34,8 @@ def group_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each group in the list's order, over one type's groups and the other types' counts."""
-    g = views.snapshots(spark, sf_dir).where("sid % 20 = 0").select("type", F.when(F.col("sid") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id")).distinct()
+    """The first hundred groups of the list's order, some ids being no numbers."""
+    g = views.snapshots(spark, sf_dir).select("type", F.when(F.col("sid") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id")).distinct()
     return ls.page(g, ls.group_order(), 0, 100)
 
 
@@ -135,7 +135,7 @@ def valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with their tokens in one list, empty for those without."""
     c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"))
-    t = views.table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("user"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("token"))
+    t = views.table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("user"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("token"))
     folded = t.groupBy("user").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     return c.join(folded, "user", "left").select("user", F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), ",").alias("tokens"))
 
@@ -143,7 +143,7 @@ def tokens_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and writes in progress by store, of processes that are alive."""
     t = views.tasks(spark, sf_dir).where("stop IS NULL").select(ls.store_of("worker_type", "worker_id").alias("store"), F.col("task"), (F.col("worker_type") == "backup").alias("writes"))
-    alive = views.tasks(spark, sf_dir).where("task % 2 = 1").select("task")
+    alive = views.tasks(spark, sf_dir).where("duration >= 10").select("task")
     return t.join(alive, "task", "left_semi").groupBy("store").agg(F.count_if(~F.col("writes")).alias("reading"), F.count_if("writes").alias("writing"))
 
 
@@ -157,7 +157,7 @@ ORACLE = {
     "scan_groups": oracle("v_snapshots") + "SELECT DISTINCT type, id FROM v_snapshots WHERE type = 'vm'",
     "scan_files": oracle("v_refs") + "SELECT sid, string_agg(file, ',' ORDER BY file) AS files, count(*) AS n FROM (SELECT DISTINCT sid, 'f' || (part % 10) || '.didx' AS file FROM v_refs) GROUP BY sid",
     "group_list": oracle("v_snapshots") + "SELECT type, id, count(*) AS backup_count, max(time) AS last_backup, max_by(owner, time) AS owner, max(time) FILTER (finished) AS last_successful, max_by(size, time) AS last_size FROM v_snapshots GROUP BY type, id",
-    "group_order": oracle("v_snapshots") + "SELECT DISTINCT type, CASE WHEN sid % 3 = 0 THEN 'n' || id ELSE id END AS id, CASE type WHEN 'vm' THEN 0 WHEN 'ct' THEN 1 ELSE 2 END AS r FROM v_snapshots WHERE sid % 20 = 0",
+    "group_order": oracle("v_snapshots") + "SELECT DISTINCT type, CASE WHEN sid % 3 = 0 THEN 'n' || id ELSE id END AS id, CASE type WHEN 'vm' THEN 0 WHEN 'ct' THEN 1 ELSE 2 END AS r FROM v_snapshots",
     "group_filter_inc_exc": oracle("v_snapshots") + "SELECT DISTINCT type, id FROM v_snapshots WHERE (regexp_matches(type || '/' || id, '/1') OR type = 'ct') AND NOT (regexp_matches(type || '/' || id, '9$') OR type || '/' || id = 'ct/12')",
     "type_counts": oracle("v_snapshots") + "SELECT type, count(DISTINCT id) AS groups, count(*) AS snapshots FROM v_snapshots GROUP BY type",
     "owner_check": oracle("v_snapshots") + "SELECT type, count(DISTINCT id) AS groups FROM v_snapshots WHERE owner = 'user2@local' GROUP BY type",
@@ -178,7 +178,7 @@ count(*) FILTER (verify_state IS NOT NULL AND {NOW} - verified > 2592000) AS out
     "maintenance_gate": "SELECT n_name, n_nationkey % 3 <> 0 AS read, n_nationkey % 3 = 2 AS write FROM nation",
     "active_entities": f"SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 5 >= 3 OR c_custkey % 7 > 3)",
     "valid_names": "SELECT p_partkey, coalesce(regexp_full_match(p_name, '[A-Za-z0-9_ #][A-Za-z0-9._ #-]*') AND length(p_name) BETWEEN 3 AND 64 AND p_size BETWEEN 2 AND 40, false) AS valid FROM part",
-    "tokens_by_user": "SELECT c_custkey AS \"user\", coalesce(string_agg('t' || o_orderkey, ',' ORDER BY 't' || o_orderkey), '') AS tokens FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 9 = 0) ON c_custkey = o_custkey GROUP BY c_custkey",
-    "active_operations": oracle("v_tasks") + f"SELECT CASE worker_type WHEN 'syncjob' THEN split_part(worker_id, ':', 2) ELSE {_STORE} END AS store, count(*) FILTER (worker_type <> 'backup') AS reading, count(*) FILTER (worker_type = 'backup') AS writing FROM v_tasks WHERE stop IS NULL AND task % 2 = 1 GROUP BY 1",
+    "tokens_by_user": "SELECT c_custkey AS \"user\", coalesce(string_agg('t' || o_orderkey, ',' ORDER BY 't' || o_orderkey), '') AS tokens FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '5-LOW') ON c_custkey = o_custkey GROUP BY c_custkey",
+    "active_operations": oracle("v_tasks") + f"SELECT CASE worker_type WHEN 'syncjob' THEN split_part(worker_id, ':', 2) ELSE {_STORE} END AS store, count(*) FILTER (worker_type <> 'backup') AS reading, count(*) FILTER (worker_type = 'backup') AS writing FROM v_tasks WHERE stop IS NULL AND duration >= 10 GROUP BY 1",
 }
 ORACLE["group_order"] = ORACLE["group_order"].replace("SELECT DISTINCT type", "SELECT type, id FROM (SELECT DISTINCT type") + ") ORDER BY r, try_cast(id AS BIGINT) NULLS LAST, id LIMIT 100"

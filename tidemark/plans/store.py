@@ -11,15 +11,16 @@ from ..sources import views
 from ..sources.views import NOW, REF_ORDER, oracle
 
 WRITER = NOW - 5 * 86400
+LIVE_FROM = "2001-06-01"
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of the snapshots that still exist: those of every fiftieth customer."""
-    live = views.table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("sid"))
+    """References of the snapshots that still exist: those of the last months."""
+    live = views.table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(LIVE_FROM).cast("timestamp_ntz")).select(F.col("o_orderkey").alias("sid"))
     return views.refs(spark, sf_dir).join(live, "sid", "left_semi")
 
 
-_LIVE = "live AS (SELECT r.* FROM v_refs r SEMI JOIN (SELECT o_orderkey AS sid FROM orders WHERE o_custkey % 50 = 0) o USING (sid))"
+_LIVE = "live AS (SELECT r.* FROM v_refs r SEMI JOIN (SELECT o_orderkey AS sid FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01') o USING (sid))"
 
 
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +71,14 @@ def chunk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which lines of each document an upload would send, those of earlier documents being known."""
+    """Which lines of each document an upload would send, those of one source being known."""
     lines = views.doc_lines(spark, sf_dir)
-    return cs.known_runs(lines, lines.where("sid % 10 = 0"), "sid", "pos").select("sid", F.col("pos").cast("long").alias("pos"), "known", "run", F.col("batch").cast("long").alias("batch"))
+    return cs.known_runs(lines, lines.where("source = 'src0'"), "sid", "pos").select("sid", F.col("pos").cast("long").alias("pos"), "known", "run", F.col("batch").cast("long").alias("batch"))
 
 
 def upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.doc_lines(spark, sf_dir)
-    return cs.upload_report(cs.known_runs(lines, lines.where("sid % 10 = 0"), "sid", "pos"))
+    return cs.upload_report(cs.known_runs(lines, lines.where("source = 'src0'"), "sid", "pos"))
 
 
 def archive_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +116,9 @@ def fixed_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index made from the previous one, where every third entry is new."""
-    e = cs.with_offsets(views.refs(spark, sf_dir), "sid", REF_ORDER).select("sid", "pos", "digest")
-    new = e.where("pos % 3 = 0").select("sid", "pos", F.sha2(F.concat("digest", F.lit("+")), 256).alias("fresh"))
+    """An index made from the previous one, where entries under 16 KiB are new."""
+    e = cs.with_offsets(views.refs(spark, sf_dir), "sid", REF_ORDER).select("sid", "pos", "digest", "size")
+    new = e.where("size < 16384").select("sid", "pos", F.sha2(F.concat("digest", F.lit("+")), 256).alias("fresh"))
     return e.join(new, ["sid", "pos"], "full_outer").select("sid", "pos", F.coalesce("fresh", "digest").alias("digest"))
 
 
@@ -128,8 +129,8 @@ def recover_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tape_new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct digests of live snapshots that no tape has (tapes have parts divisible by 3)."""
-    on_tape = views.chunks(spark, sf_dir).where("part % 3 = 0").select("digest")
+    """Distinct digests of live snapshots that no tape has (tapes have those over 30000 bytes)."""
+    on_tape = views.chunks(spark, sf_dir).where("disk_size > 30000").select("digest")
     return _live(spark, sf_dir).select("digest").distinct().join(on_tape, "digest", "left_anti")
 
 
@@ -139,7 +140,7 @@ def chunk_write_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(F.count("*").alias("chunks"), F.sum("raw_size").alias("raw"), F.sum("disk_size").alias("disk"), F.expr("sum(raw_size) div count(*)").alias("average"), F.round(F.sum("disk_size") * 100 / F.sum("raw_size"), 4).alias("compression_percent"))
 
 
-_KNOWN = """k AS (SELECT DISTINCT digest FROM v_lines WHERE sid % 10 = 0),
+_KNOWN = """k AS (SELECT DISTINCT digest FROM v_lines WHERE source = 'src0'),
 a AS (SELECT l.*, k.digest IS NOT NULL OR row_number() OVER (PARTITION BY sid, l.digest ORDER BY pos) > 1 AS known FROM v_lines l LEFT JOIN k ON l.digest = k.digest),
 b AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY sid ORDER BY pos) AS run FROM a)"""
 _SWEEP = f"""{_LIVE}, m AS (SELECT c.* EXCLUDE (atime), CASE WHEN u.digest IS NULL THEN atime ELSE {NOW} END AS atime FROM v_chunks c LEFT JOIN (SELECT DISTINCT digest FROM live) u USING (digest)),
@@ -172,8 +173,8 @@ SELECT *, CASE WHEN bytes > 0 THEN (bytes - uploaded) * 100 // bytes ELSE 0 END
     "verify_due": oracle("v_snapshots") + f"SELECT type, id, sid FROM v_snapshots WHERE (verify_state IS NULL OR floor(({NOW} - verified) / 86400) > 30) AND NOT (type = 'host' AND id = '7')",
     "point_lookup": oracle("v_index") + "SELECT sid, CAST(40000 AS BIGINT) AS at, pos, CAST(40000 - start_off AS BIGINT) AS inner_off FROM v_index WHERE start_off <= 40000 AND 40000 < end_off",
     "fixed_offsets": oracle("v_refs") + "SELECT DISTINCT size, size * 3 // 65536 AS chunk, size * 3 % 65536 AS inner_off, size * 3 % 65536 = 0 AS aligned, size IN (65536, 131072, 262144, 524288, 1048576, 2097152, 4194304) AS valid_size FROM v_refs",
-    "index_clone": oracle("v_index") + "SELECT sid, pos, CASE WHEN pos % 3 = 0 THEN sha256(digest || '+') ELSE digest END AS digest FROM v_index",
+    "index_clone": oracle("v_index") + "SELECT sid, pos, CASE WHEN size < 16384 THEN sha256(digest || '+') ELSE digest END AS digest FROM v_index",
     "recover_index": oracle("v_refs", "v_chunks") + "SELECT sid, CAST(coalesce(sum(size) FILTER (c.digest IS NOT NULL), 0) AS BIGINT) AS recovered, CAST(coalesce(sum(size) FILTER (c.digest IS NULL), 0) AS BIGINT) AS zeros FROM v_refs r LEFT JOIN (SELECT digest FROM v_chunks WHERE NOT bad) c ON r.digest = c.digest GROUP BY sid",
-    "tape_new_chunks": oracle("v_refs", "v_chunks", ctes=_LIVE) + "SELECT DISTINCT digest FROM live WHERE digest NOT IN (SELECT digest FROM v_chunks WHERE part % 3 = 0)",
+    "tape_new_chunks": oracle("v_refs", "v_chunks", ctes=_LIVE) + "SELECT DISTINCT digest FROM live WHERE digest NOT IN (SELECT digest FROM v_chunks WHERE disk_size > 30000)",
     "chunk_write_stats": oracle("v_chunks") + "SELECT count(*) AS chunks, CAST(sum(raw_size) AS BIGINT) AS raw, CAST(sum(disk_size) AS BIGINT) AS disk, CAST(sum(raw_size) // count(*) AS BIGINT) AS average, round(sum(disk_size) * 100 / sum(raw_size), 4) AS compression_percent FROM v_chunks",
 }

@@ -91,13 +91,12 @@ def tape_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def online_tapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.media(spark, sf_dir)
-    place = F.substring("label", 2, 7).cast("long")
-    labels = m.where(place % 7 < 3).select("label", F.lit("changer0").alias("changer"), (place % 5 == 0).alias("import_export"))
+    labels = m.where("location = 'changer0'").select("label", F.lit("changer0").alias("changer"), (F.col("status") == "damaged").alias("import_export"))
     return tapes.online(labels, m)
 
 
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = views.snapshots(spark, sf_dir).where("sid % 25 = 0").select(F.col("sid").alias("snapshot"))
+    wanted = views.snapshots(spark, sf_dir).where("protected AND type = 'vm'").select(F.col("sid").alias("snapshot"))
     return tapes.restore_plan(wanted, _catalog(spark, sf_dir))
 
 
@@ -124,9 +123,9 @@ def tape_backup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restorable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of tapes that a target lacks, by type: the target has those of even ids."""
+    """Snapshots of tapes that a target lacks, by type: the target has those that aren't encrypted."""
     src = _catalog(spark, sf_dir).select("snapshot").distinct().join(views.snapshots(spark, sf_dir).withColumnRenamed("sid", "snapshot"), "snapshot")
-    there = views.snapshots(spark, sf_dir).where("cast(id AS BIGINT) % 2 = 0").select("type", "id", "time")
+    there = views.snapshots(spark, sf_dir).where("crypt_mode = 'none'").select("type", "id", "time")
     return src.join(there, ["type", "id", "time"], "left_anti").groupBy("type").agg(F.count("*").alias("snapshots"))
 
 
@@ -161,11 +160,11 @@ SELECT p.pool, coalesce(o.label, sp.label) AS label, CAST(coalesce(o.prio, sp.pr
     "media_union": oracle("v_media") + "SELECT uuid, pool, CASE WHEN pool IS NOT NULL THEN set_uuid END AS set_uuid, coalesce(pool IN ('Brand#1', 'Brand#2', 'Brand#3'), false) AS catalog, CASE WHEN pool IS NULL OR pool IN ('Brand#1', 'Brand#2', 'Brand#3') THEN status ELSE 'unknown' END AS status FROM v_media",
     "distinct_sets": oracle("v_media") + "SELECT set_uuid, max(set_ctime) AS set_ctime FROM v_media WHERE set_uuid IS NOT NULL GROUP BY set_uuid",
     "tape_overview": oracle("v_media") + "SELECT pool, set_uuid, count(*) AS tapes, max(seq_nr) AS top, max(seq_nr) + 1 <> count(*) AS incomplete FROM v_media WHERE set_uuid IS NOT NULL GROUP BY pool, set_uuid",
-    "online_tapes": oracle("v_media") + "SELECT label, 'changer0' AS changer, uuid FROM v_media WHERE CAST(label[2:] AS BIGINT) % 7 < 3 AND CAST(label[2:] AS BIGINT) % 5 <> 0",
-    "restore_plan": oracle("v_refs", "v_snapshots", ctes=_CAT) + "SELECT uuid, string_agg(CAST(file_nr AS VARCHAR), ',' ORDER BY file_nr) AS files, max(n) AS snapshots FROM (SELECT DISTINCT uuid, file_nr FROM k WHERE snapshot % 25 = 0 AND snapshot IN (SELECT sid FROM v_snapshots)) JOIN (SELECT uuid, count(DISTINCT snapshot) AS n FROM k WHERE snapshot % 25 = 0 AND snapshot IN (SELECT sid FROM v_snapshots) GROUP BY uuid) USING (uuid) GROUP BY uuid",
+    "online_tapes": oracle("v_media") + "SELECT label, 'changer0' AS changer, uuid FROM v_media WHERE location = 'changer0' AND status <> 'damaged'",
+    "restore_plan": oracle("v_refs", "v_snapshots", ctes=_CAT) + "SELECT uuid, string_agg(CAST(file_nr AS VARCHAR), ',' ORDER BY file_nr) AS files, max(n) AS snapshots FROM (SELECT DISTINCT uuid, file_nr FROM k WHERE snapshot IN (SELECT sid FROM v_snapshots WHERE protected AND type = 'vm')) JOIN (SELECT uuid, count(DISTINCT snapshot) AS n FROM k WHERE snapshot IN (SELECT sid FROM v_snapshots WHERE protected AND type = 'vm') GROUP BY uuid) USING (uuid) GROUP BY uuid",
     "restore_missing": oracle("v_refs", "v_snapshots", ctes=_CAT) + "SELECT sid AS snapshot FROM v_snapshots WHERE sid NOT IN (SELECT snapshot FROM k WHERE file_nr < 4)",
     "catalog_lookup": oracle("v_refs", ctes=_CAT) + "SELECT snapshot, min(uuid) AS uuid, max(file_nr) FILTER (uuid = least_uuid) AS file_nr FROM (SELECT *, min(uuid) OVER (PARTITION BY snapshot) AS least_uuid FROM k) GROUP BY snapshot",
     "tape_content": oracle("v_media") + "SELECT uuid, label, set_uuid, seq_nr FROM v_media WHERE pool = 'Brand#2' AND status = 'full' AND location <> 'vault'",
     "tape_backup_plan": oracle("v_refs", "v_snapshots", ctes=_CAT) + "SELECT type, id, sid AS snapshot FROM v_snapshots WHERE finished AND type <> 'ct' AND sid NOT IN (SELECT snapshot FROM k WHERE file_nr < 4)",
-    "restorable": oracle("v_refs", "v_snapshots") + "SELECT type, count(*) AS snapshots FROM v_snapshots WHERE sid IN (SELECT sid FROM v_refs) AND CAST(id AS BIGINT) % 2 <> 0 GROUP BY type",
+    "restorable": oracle("v_refs", "v_snapshots") + "SELECT type, count(*) AS snapshots FROM v_snapshots WHERE sid IN (SELECT sid FROM v_refs) AND crypt_mode <> 'none' GROUP BY type",
 }

@@ -31,7 +31,7 @@ def _lines(spark: SparkSession, lines) -> DataFrame:
 
 def snapshot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of snapshots and groups, with namespaces before some, taken apart again."""
-    s = views.snapshots(spark, sf_dir).where("sid % 3 = 0")
+    s = views.snapshots(spark, sf_dir)
     moment = F.date_format(F.expr("timestampadd(SECOND, time, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ns = F.when(F.col("sid") % 2 == 0, F.concat(scalar.namespace_path(F.array(F.lit("a"), F.lit("b"))), F.lit("/"))).otherwise("")
     path = F.concat(ns, F.concat_ws("/", "type", "id", F.when(F.col("sid") % 5 != 0, moment)))
@@ -103,9 +103,9 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of manifests written as JSON and parsed again, with those on disk only (no size)."""
-    r = views.refs(spark, sf_dir).where("sid % 10 = 0").select("sid", F.concat(F.lit("f"), (F.col("part") % 10).cast("string"), F.lit(".didx")).alias("filename"), "size")
+    r = views.refs(spark, sf_dir).select("sid", F.concat(F.lit("f"), (F.col("part") % 10).cast("string"), F.lit(".didx")).alias("filename"), "size")
     each = r.groupBy("sid", "filename").agg(F.sum("size").alias("size"))
-    manifest = each.where("size % 4 <> 0 OR size < 40000").groupBy("sid").agg(F.to_json(F.struct(F.collect_list(F.struct("filename", "size")).alias("files"))).alias("manifest"))
+    manifest = each.where("size < 40000").groupBy("sid").agg(F.to_json(F.struct(F.collect_list(F.struct("filename", "size")).alias("files"))).alias("manifest"))
     listed = manifest.select("sid", F.explode(F.from_json("manifest", "files array<struct<filename:string,size:bigint>>")["files"]).alias("f")).select("sid", "f.filename", "f.size")
     on_disk = each.select("sid", "filename")
     return on_disk.join(listed, ["sid", "filename"], "left")
@@ -119,12 +119,12 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (snapshot_paths, archive_types, human_sizes, path_names, repositories, unit_names, byte_sizes, vlan_names, pool_list, pool_status, changer_status, disk_stats, smart_attributes, smart_summary, json_fields, manifest_files, manifest_totals)}
 
-_FILES = """e AS (SELECT sid, 'f' || (part % 10) || '.didx' AS filename, CAST(sum(size) AS BIGINT) AS size FROM v_refs WHERE sid % 10 = 0 GROUP BY 1, 2),
-m AS (SELECT sid, filename, CASE WHEN size % 4 <> 0 OR size < 40000 THEN size END AS size FROM e)"""
+_FILES = """e AS (SELECT sid, 'f' || (part % 10) || '.didx' AS filename, CAST(sum(size) AS BIGINT) AS size FROM v_refs GROUP BY 1, 2),
+m AS (SELECT sid, filename, CASE WHEN size < 40000 THEN size END AS size FROM e)"""
 _B = "CAST(NULL AS BIGINT)"
 
 ORACLE = {
-    "snapshot_paths": oracle("v_snapshots") + """SELECT sid, CASE WHEN sid % 2 = 0 THEN 'a/b' ELSE '' END AS ns, type, id, CASE WHEN sid % 5 <> 0 THEN strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS time FROM v_snapshots WHERE sid % 3 = 0""",
+    "snapshot_paths": oracle("v_snapshots") + """SELECT sid, CASE WHEN sid % 2 = 0 THEN 'a/b' ELSE '' END AS ns, type, id, CASE WHEN sid % 5 <> 0 THEN strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS time FROM v_snapshots""",
     "archive_types": "SELECT DISTINCT p_name || CASE p_partkey % 4 WHEN 0 THEN '.didx' WHEN 1 THEN '.fidx' WHEN 2 THEN '.blob' ELSE '.txt' END AS name, CASE p_partkey % 4 WHEN 0 THEN 'dynamic' WHEN 1 THEN 'fixed' WHEN 2 THEN 'blob' END AS type FROM part",
     "human_sizes": oracle("v_snapshots") + ", s AS (SELECT DISTINCT size * sid AS size FROM v_snapshots) SELECT size, CASE WHEN size >= 1099511627776 THEN printf('%.2f TiB', size / 1099511627776) WHEN size >= 1073741824 THEN printf('%.2f GiB', size / 1073741824) WHEN size >= 1048576 THEN printf('%.2f MiB', size / 1048576) WHEN size >= 1024 THEN printf('%.2f KiB', size / 1024) ELSE size || ' B' END AS text FROM s",
     "path_names": oracle("v_entries") + "SELECT path, name AS text, base64(encode(path)) AS filepath, leaf FROM v_entries",

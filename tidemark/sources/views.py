@@ -61,9 +61,9 @@ REF_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shi
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each stored chunk: part, digest, disk_size, atime, bad, raw_size. Parts divisible by 17 are missing."""
+    """One row for each stored chunk: part, digest, disk_size, atime, bad, raw_size. Parts of two sizes are missing."""
     p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
-    return p.where(key % 17 != 0).select(key.alias("part"), F.sha2(key.cast("string"), 256).alias("digest"), (F.col("p_size") * 1000).cast("long").alias("disk_size"), (F.lit(NOW - 10 * 86400) + key % 480 * 3600).alias("atime"), (key % 97 == 0).alias("bad"), (F.col("p_size") * 1500).cast("long").alias("raw_size"))
+    return p.where(~F.col("p_size").isin(17, 34)).select(key.alias("part"), F.sha2(key.cast("string"), 256).alias("digest"), (F.col("p_size") * 1000).cast("long").alias("disk_size"), (F.lit(NOW - 10 * 86400) + key % 480 * 3600).alias("atime"), (key % 97 == 0).alias("bad"), (F.col("p_size") * 1500).cast("long").alias("raw_size"))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +85,9 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as chunks of a stream: sid, pos, digest, size."""
+    """Lines of documents as chunks of a stream: sid, source, pos, digest, size."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("sid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))).select("sid", "pos", F.sha2("col", 256).alias("digest"), F.octet_length("col").cast("long").alias("size"))
+    return d.select(F.col("doc_id").alias("sid"), "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))).select("sid", "source", "pos", F.sha2("col", 256).alias("digest"), F.octet_length("col").cast("long").alias("size"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ SQL = {
     "v_index": """SELECT sid, part, digest, size, pos, sum(size) OVER (PARTITION BY sid ORDER BY pos) - size AS start_off, sum(size) OVER (PARTITION BY sid ORDER BY pos) AS end_off
   FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS pos FROM v_refs)""",
     "v_chunks": f"""SELECT p_partkey AS part, sha256(CAST(p_partkey AS VARCHAR)) AS digest, CAST(p_size * 1000 AS BIGINT) AS disk_size,
-  {NOW - 10 * 86400} + p_partkey % 480 * 3600 AS atime, p_partkey % 97 = 0 AS bad, CAST(p_size * 1500 AS BIGINT) AS raw_size FROM part WHERE p_partkey % 17 <> 0""",
+  {NOW - 10 * 86400} + p_partkey % 480 * 3600 AS atime, p_partkey % 97 = 0 AS bad, CAST(p_size * 1500 AS BIGINT) AS raw_size FROM part WHERE p_size NOT IN (17, 34)""",
     "v_tasks": """SELECT event_id AS task, CAST(floor(epoch(ts)) AS BIGINT) AS start,
   CASE WHEN event_id % 11 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(abs(value)) AS BIGINT) END AS stop,
   CASE event_type WHEN 'click' THEN 'backup' WHEN 'purchase' THEN 'prunejob' WHEN 'error' THEN 'verificationjob' WHEN 'signup' THEN 'syncjob' ELSE 'garbage_collection' END AS worker_type,
@@ -145,8 +145,8 @@ SQL = {
   CAST(floor(abs(value)) AS BIGINT) AS duration,
   CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'warning' ELSE 'ok' END AS state FROM events""",
     "v_metrics": "SELECT event_type AS name, CAST(floor(epoch(ts)) AS BIGINT) AS ts, value, event_id AS n FROM events",
-    "v_lines": """SELECT sid, pos - 1 AS pos, sha256(line) AS digest, CAST(strlen(line) AS BIGINT) AS size
-  FROM (SELECT doc_id AS sid, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)""",
+    "v_lines": """SELECT sid, source, pos - 1 AS pos, sha256(line) AS digest, CAST(strlen(line) AS BIGINT) AS size
+  FROM (SELECT doc_id AS sid, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)""",
     "v_entries": """SELECT parent, name, path, depth, bool_and(leaf) AS leaf FROM (
   SELECT CASE WHEN i = 1 THEN '/' ELSE '/' || array_to_string(parts[1:i - 1], '/') END AS parent, parts[i] AS name, '/' || array_to_string(parts[1:i], '/') AS path, CAST(i AS INTEGER) AS depth, i = len(parts) AS leaf
   FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/'), lambda x: x <> '') AS parts FROM pages))) GROUP BY ALL""",
