@@ -3,7 +3,7 @@
 Similarity 0.8 leaves 64-bit fingerprints too far apart for an exact search within a few bits, so pivots serve twice here. For each
 reference fingerprint a document is known by its shingle hash nearest to it; two documents share that hash as often as they
 share shingles. Two neighbouring pivots' hashes make a bucket. In a bucket the fingerprints' table of distances to the pivots
-discards pairs by their maximum coordinate difference, and the nearest leaders within RADIUS bits become candidates. Candidates are
+discards pairs by their maximum coordinate difference, and each row's nearest ones within RADIUS bits become candidates. Candidates are
 verified by the exact Jaccard similarity of their shingle sets. The survivors of a round go through the next one.
 """
 
@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SALTS, forget, stash, whole_groups
@@ -23,11 +24,9 @@ from .simhash import _WORD, fingerprint, pivots, shingle_hashes
 
 TABLES = 10
 RADIUS = 20
-#: Fingerprints this near to a leader need not lead themselves.
-FOLLOW = 8
-NEAREST = 3
-#: Rows of a bucket that one task compares; a larger bucket is dealt out anew in each round, and only leaders go on.
-TILE = 1024
+NEAREST = 4
+#: Rows of a bucket that one task compares; a larger bucket is dealt out anew in each round, in which only survivors are.
+TILE = 256
 ROUNDS = 3
 #: Bits of the filter that keeps most texts without candidates out of the verifying join.
 FILTER_BITS = 1 << 24
@@ -64,35 +63,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, a long, b long, fp long, keys array<long>")
 
 
-def leaders(ids: np.ndarray, fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-    """(leader id, id) candidates of one bucket, NEAREST for each row at most."""
-    out, lead = [], []
-    for i in range(len(ids)):
-        if lead:
-            at = np.array(lead)
-            at = at[np.abs(table[at] - table[i]).max(axis=1) <= RADIUS]
-            d = np.bitwise_count(fps[at] ^ fps[i])
-            order = np.argsort(d, kind="stable")[:NEAREST]
-            near = [(int(d[k]), int(at[k])) for k in order if d[k] <= RADIUS]
-            out += [(int(ids[k]), int(ids[i])) for _, k in near]
-            if near and near[0][0] <= FOLLOW:
-                continue
-        lead.append(i)
+def nearest_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
+    """(id before, id) candidates of one bucket: for each row the NEAREST ones before it within RADIUS bits at most."""
+    out = []
+    for i in range(1, len(ids)):
+        at = np.flatnonzero(np.abs(table[:i] - table[i]).max(axis=1) <= RADIUS)
+        d = np.bitwise_count(fps[at] ^ fps[i])
+        order = np.argsort(d, kind="stable")[:NEAREST]
+        out += [(int(ids[at[k]]), int(ids[i])) for k in order if d[k] <= RADIUS]
     return out
 
 
 def _candidates(live: DataFrame, turn: int) -> DataFrame:
     """Distinct (a, b) with a < b among live rows (id, fp, keys)."""
-    keyed = live.select("id", "fp", F.explode("keys").alias("key"))
-    crowd = keyed.groupBy("key").count().where("count > 1")
-    tiles = F.ceil(F.col("count") / TILE)
-    # rows of a crowded key are dealt by a salt here too, so that the join has no hot key
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    dealt_keys = crowd.select("key", tiles.alias("tiles"), F.explode(F.when(F.col("count") > TILE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    hot = dealt_keys.where("salt >= 0").select("key", "salt", "tiles")
-    some = dealt_keys.where("salt < 0").select("key")
-    warm = keyed.join(some, "key", "left_semi").select("id", "fp", F.xxhash64("key").alias("g"))
-    split = salted.join(hot, ["key", "salt"]).select("id", "fp", F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("tiles"))).alias("g"))
+    keyed = live.select("id", "fp", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    crowd = keyed.groupBy("key").count().where(F.col("count") > TILE)
+    # a crowded key has a row for each salt, so that no join has a hot key; written first, so that Spark sees how few they are
+    hot = stash(crowd.select("key", F.ceil(F.col("count") / TILE).alias("tiles"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "crowded-keys")
+    warm = keyed.join(hot, ["key", "salt"], "left_anti").select("id", "fp", F.xxhash64("key").alias("g"))
+    split = keyed.join(hot, ["key", "salt"]).select("id", "fp", F.xxhash64("key", F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("tiles"))).alias("g"))
     dealt = warm.unionByName(split).repartition("g").sortWithinPartitions("g", "id")
     refs = pivots()
 
@@ -104,31 +93,52 @@ def _candidates(live: DataFrame, turn: int) -> DataFrame:
             pairs = []
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if y - x > 1:
-                    pairs += leaders(ids[x:y], fps[x:y], table[x:y])
+                    pairs += nearest_pairs(ids[x:y], fps[x:y], table[x:y])
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], type=pa.int64()), pa.array([max(p) for p in pairs], type=pa.int64())], names=["a", "b"])
 
     return dealt.select("g", "id", "fp").mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
+class IdFilter:
+    """A bit for each of FILTER_BITS hashes of ids: rows without their bit surely aren't among the ids. Its size doesn't grow with them."""
+
+    def __init__(self, ids: DataFrame):
+        spot = self.spot(F.col("id"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int"))
+        words = ids.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+        bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+        bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+        self._sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def spot(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column, F.lit(1)), F.lit(FILTER_BITS))
+
+    def test(self, spots: np.ndarray) -> np.ndarray:
+        return ((self._sent.value[spots >> 6] >> (spots & 63)) & 1).astype(bool)
+
+    def column(self, id_column: Column) -> Column:
+        """Whether an id may be among the ids."""
+
+        @F.pandas_udf("boolean")
+        def maybe(spots: pd.Series) -> pd.Series:
+            return pd.Series(self.test(spots.to_numpy()))
+
+        return maybe(self.spot(id_column))
+
+
 def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles) of the documents whose ids are in ids (one row each). A bounded bit filter goes to the tasks that read texts; the join is exact."""
-    spot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(id, 1), {FILTER_BITS}) & 63))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words:
-        bits[r["at"]] = r["bits"]
-    sent = ids.sparkSession.sparkContext.broadcast(bits)
+    """(id, shingles) of the documents whose ids are in ids (one row each). Few other texts pass the filter; the join is exact."""
+    passing = IdFilter(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column(1).to_numpy()
-            own = (sent.value[spots >> 6] >> (spots & 63)) & 1
-            b = batch.filter(pa.array(own.astype(bool)))
+            b = batch.filter(pa.array(passing.test(batch.column(1).to_numpy())))
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
-    return texts.select("id", spot.alias("spot"), "t").mapInArrow(run, "id long, shingles array<long>").join(ids, "id", "left_semi")
+    return texts.select("id", IdFilter.spot(F.col("id")).alias("spot"), "t").mapInArrow(run, "id long, shingles array<long>").join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -179,7 +189,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dead = gone[0]
     for more in gone[1:]:
         dead = dead.unionByName(more)
-    return docs.join(dead.distinct().withColumnRenamed("id", "_gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    dead = stash(dead.distinct(), "gone")
+    # only rows that may go are shuffled
+    key = F.col(id_col).cast("long")
+    maybe = F.coalesce(IdFilter(dead).column(key), F.lit(False)) & key.isNotNull()
+    rest = docs.where(maybe).join(dead.withColumnRenamed("id", "_gone"), key == F.col("_gone"), "left_anti")
+    return docs.where(~maybe).unionByName(rest)
 
 
 def _copies(signed: DataFrame, classes: DataFrame) -> DataFrame:
