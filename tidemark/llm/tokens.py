@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Merged pre-tokens that a worker remembers before it forgets them all.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Longer pre-tokens are merged again each time.
 LONGEST = 64
 
