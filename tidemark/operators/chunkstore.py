@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +95,26 @@ def upload_report(entries: DataFrame, stream: str = "sid") -> DataFrame:
 
 
 def archives(entries: DataFrame, group: str, order: str, limit: int) -> DataFrame:
-    """Number of the archive that each chunk goes to: by running size before it, over limit."""
-    before = F.sum("size").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return entries.withColumn("archive", F.floor(before / limit).cast("long"))
+    """(group, order, archive) for chunks written in order: an archive is closed after the write that takes it over limit.
+
+    The sum starts anew with each archive, which no window expresses, so sorted rows are read as a stream that carries one sum.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held = None, 0, 0
+        for b in batches:
+            out = []
+            for key, size in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != now:
+                    now, number, held = key, 0, 0
+                elif held > limit:
+                    number, held = number + 1, 0
+                out.append(number)
+                held += size
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.int64())], names=[group, order, "archive"])
+
+    rows = entries.select(F.col(group).cast("long"), F.col(order).cast("long"), F.col("size").cast("long"))
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"`{group}` long, `{order}` long, archive long")
 
 
 def index_checksum(entries: DataFrame, index: str = "sid") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunkstore as cs
 from ..operators.rangejoin import point_join
 from ..sources import views
+from ..sources.shipping import ship
 from ..sources.views import NOW, REF_ORDER, oracle
 
 WRITER = NOW - 5 * 86400
@@ -83,8 +84,9 @@ def upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive of each entry, for archives of 64 KiB."""
+    ship(spark)
     entries = cs.with_offsets(views.refs(spark, sf_dir), "sid", REF_ORDER)
-    return cs.archives(entries, "sid", "pos", 65536).select("sid", "pos", "archive")
+    return cs.archives(entries, "sid", "pos", 65536)
 
 
 def index_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +169,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY size > 0 DESC, s
     "known_chunks": oracle("v_lines", ctes=_KNOWN) + "SELECT sid, pos, known, CASE WHEN known THEN CAST(run AS BIGINT) END AS run, CASE WHEN known THEN (row_number() OVER (PARTITION BY sid, known, run ORDER BY pos) - 1) // 64 END AS batch FROM b",
     "upload_report": oracle("v_lines", ctes=_KNOWN) + """, u AS (SELECT sid, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (known) AS duplicates, CAST(coalesce(sum(size) FILTER (NOT known), 0) AS BIGINT) AS uploaded FROM a GROUP BY sid)
 SELECT *, CASE WHEN bytes > 0 THEN (bytes - uploaded) * 100 // bytes ELSE 0 END AS reused_percent FROM u""",
-    "archive_numbers": oracle("v_index") + "SELECT sid, pos, CAST(start_off // 65536 AS BIGINT) AS archive FROM v_index",
+    "archive_numbers": oracle("v_index", ctes="""w AS (SELECT sid, pos, size AS held, CAST(0 AS BIGINT) AS archive FROM v_index WHERE pos = 0
+UNION ALL SELECT i.sid, i.pos, CASE WHEN held > 65536 THEN i.size ELSE held + i.size END, CASE WHEN held > 65536 THEN archive + 1 ELSE archive END FROM w JOIN v_index i ON i.sid = w.sid AND i.pos = w.pos + 1)""", recursive=True) + "SELECT sid, pos, archive FROM w",
     "index_checksums": oracle("v_index") + "SELECT sid, sha256(string_agg(CAST(end_off AS BIGINT) || ':' || digest, ',' ORDER BY pos)) AS csum, CAST(max(end_off) AS BIGINT) AS size, count(*) AS entries FROM v_index GROUP BY sid",
     "verify_snapshots": oracle("v_refs", "v_chunks") + "SELECT sid, count(*) AS refs, count(*) FILTER (c.digest IS NULL) AS missing, count(*) FILTER (bad) AS bad, bool_and(c.digest IS NOT NULL AND NOT bad) AS ok FROM v_refs r LEFT JOIN v_chunks c ON r.digest = c.digest GROUP BY sid",
     "verify_due": oracle("v_snapshots") + f"SELECT type, id, sid FROM v_snapshots WHERE (verify_state IS NULL OR floor(({NOW} - verified) / 86400) > 30) AND NOT (type = 'host' AND id = '7')",
