@@ -187,6 +187,12 @@ def test_files_are_the_same_bytes_again(spark):
     assert digests[0] == digests[1] and len(digests[0]) > 4
 
 
+def test_far_ids(spark):
+    rows = [(k, f"http://x/{k}", "some page", "c") for k in (-(1 << 63), -5, 0, 7, (1 << 63) - 1)]
+    base, manifest = written(spark, rows, shard_bytes=1)
+    assert sorted(r["id"] for r in warc.read_warc(manifest, base).collect()) == [r[0] for r in rows]
+
+
 def test_no_pages(spark):
     base, manifest = written(spark, [])
     assert manifest.count() == 0 and warc.read_warc(manifest, base).count() == 0

@@ -19,7 +19,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Cells of the histogram of ids that shards are made of; what the driver gets is bounded by it.
@@ -94,14 +94,18 @@ class _Roller:
         return out
 
 
+def _cell(low: int, width: int) -> Column:
+    """The cell of column id; ids are halved, so that no difference overflows."""
+    return F.expr(f"(shiftright(id, 1) - {low}L) div {width}L")
+
+
 def _shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(least id, ids in a cell, first cell of each shard), from a histogram of payload bytes over CELLS cells of ids."""
-    low, high = pages.agg(F.min("id"), F.max("id")).first()
+    """(half the least id, halved ids in a cell, first cell of each shard), from a histogram of payload bytes over CELLS cells of ids."""
+    low, high = pages.agg(F.min(F.shiftright("id", 1)), F.max(F.shiftright("id", 1))).first()
     if low is None:
         return 0, 1, [0]
     width = (high - low) // CELLS + 1
-    cell = F.expr(f"(id - {low}L) div {width}L")
-    sums = sorted(tuple(r) for r in pages.where("id is not null").groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("html") + 400)).collect())
+    sums = sorted(tuple(r) for r in pages.where("id is not null").groupBy(_cell(low, width).alias("cell")).agg(F.sum(F.octet_length("html") + 400)).collect())
     starts, held = [0], 0
     for at, size in sums:
         if held and held + size > shard_bytes:
@@ -121,7 +125,7 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     low, width, starts = _shards(rows, shard_bytes)
-    cell = F.coalesce(F.expr(f"(id - {low}L) div {width}L"), F.lit(-1))
+    cell = F.coalesce(_cell(low, width), F.lit(-1))
     bounds = spark.createDataFrame([(i, a - (i == 0), b - 1) for i, (a, b) in enumerate(zip(starts, [*starts[1:], CELLS + 1], strict=True))], "shard long, a long, b long")
     lookup = F.broadcast(bounds.select(F.explode(F.sequence("a", "b")).alias("cell"), "shard"))  # CELLS rows
     order = F.struct(F.col("id").isNull().alias("none"), "id", "url")
