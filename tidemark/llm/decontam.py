@@ -2,14 +2,14 @@
 
 Texts and test items are compared as words: lower case, runs of other characters as one space. An item of m characters may differ
 by a budget of k edits; it is split into k + 1 pieces, of which one at least stands unchanged in any match. An Aho-Corasick automaton
-finds all piece hits in a text; each says where the item would lie. Such a window must share as many distinct trigrams as k edits
+finds all piece hits in a text; each says where the item would lie. Such a window must share as many distinct grams as k edits
 leave, and is then verified with Myers' bit-parallel distance.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Characters of a piece at least; so an item may differ in about one of so many characters.
 PIECE = 10
 MOST_ERRORS = 64
+#: Length of the grams that a window is tested for before the distance.
+GRAM = 4
 #: Items of fewer characters are not looked for: they are phrases of any text.
 LEAST_ITEM = 32
 #: Characters of items that are matched in one pass over the documents.
@@ -49,14 +51,14 @@ class Pattern(NamedTuple):
     item_id: int
     text: str
     masks: dict[str, int]
-    trigrams: frozenset[str]
+    grams: frozenset[str]
 
 
 def pattern(item_id: int, text: str) -> Pattern:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(text):
         masks[c] |= 1 << i
-    return Pattern(item_id, text, dict(masks), frozenset(text[i : i + 3] for i in range(len(text) - 2)))
+    return Pattern(item_id, text, dict(masks), frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1)))
 
 
 def best_distance(p: Pattern, text: str) -> tuple[int, int]:
@@ -86,6 +88,8 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.patterns = [pattern(i, t) for i, t in items]
+        often = Counter(t for p in self.patterns for t in p.grams)
+        self.grams = [sorted(p.grams, key=lambda t: (often[t], t)) for p in self.patterns]
         places = defaultdict(list)
         for n, p in enumerate(self.patterns):
             for at, piece in pieces(p.text):
@@ -123,7 +127,13 @@ class Matcher:
                 if b - a < len(p.text) - k:
                     continue
                 part = data[a:b]
-                if len(p.trigrams.intersection(map("".join, zip(part, part[1:], part[2:], strict=False)))) < len(p.trigrams) - 3 * k:
+                lacking = GRAM * k  # distinct grams that k edits can take away; rare ones come first, so that most windows fail soon
+                for t in self.grams[n]:
+                    if t not in part:
+                        lacking -= 1
+                        if lacking < 0:
+                            break
+                if lacking < 0:
                     continue
                 distance, end = best_distance(p, part)
                 if distance <= k and (found is None or distance < found[1]):
