@@ -70,11 +70,11 @@ def plan(snapshots: DataFrame, keep: Keep, group: tuple[str, ...] = ("type", "id
     newest = Window.partitionBy(*of).orderBy(down)
     out = out.withColumn("mark", F.when(~done, F.when(F.col("_runs") & (F.row_number().over(newest) == 1), "keep-partial").otherwise("remove")))
     for rule, count in keep.rules():
-        pid = "_period"
-        out = out.withColumn(pid, period(rule, F.col(time)))
-        used = F.max((F.col("mark") == "keep").cast("int")).over(Window.partitionBy(*of, pid))
-        out = out.withColumn("_open", F.col("_runs") & F.col("mark").isNull() & ~shield & (F.coalesce(used, F.lit(0)) == 0))
-        out = out.withColumn("_first", F.col("_open") & (F.row_number().over(Window.partitionBy(*of, pid, "_open").orderBy(down)) == 1))
+        out = out.withColumn("_period", period(rule, F.col(time)))
+        inside = Window.partitionBy(*of, "_period").orderBy(down)  # one sort for both
+        used = F.max(F.col("mark") == "keep").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        out = out.withColumn("_open", F.col("_runs") & F.col("mark").isNull() & ~shield & ~F.coalesce(used, F.lit(False)))
+        out = out.withColumn("_first", F.col("_open") & (F.sum(F.col("_open").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) == 1))
         out = out.withColumn("_kept", F.sum(F.col("_first").cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
         chosen = F.when(F.col("_first"), "keep").otherwise("remove")
         out = out.withColumn("mark", F.when(F.col("_open") & (F.col("_kept") <= count), chosen).otherwise(F.col("mark")))
