@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.llm import decontam, queries, simhash
+from tidemark.llm import decontam, neardup, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,38 @@ def test_stages(spark):
 def test_whole_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
+
+
+def template_corpus(pairs: int, others: int):
+    """Documents that share a long passage, each with words of its own; the last pairs are copies of the first but for a few words."""
+    passage = [f"p{k}" for k in range(78)]
+    own = lambda i, k: [f"w{i}x{j}" for j in range(k)]
+    rows = [(i, " ".join(passage + own(i, 26))) for i in range(pairs + others)]
+    return rows + [(100000 + i, " ".join(passage + own(i, 17) + own(100000 + i, 9))) for i in range(pairs)]
+
+
+def test_crowded_buckets_meet_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 16)
+    rows = template_corpus(60, 240)
+    kept = {r["doc_id"] for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == brute_force(rows)
+
+
+def brute_force(rows):
+    """Ids that stay: the smallest of each component of exact links."""
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(sets)
+    for k, b in enumerate(order):
+        for a in order[:k]:
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}

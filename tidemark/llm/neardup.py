@@ -4,7 +4,7 @@ Similarity 0.8 leaves 64-bit fingerprints too far apart for an exact search with
 reference fingerprint a document is known by its shingle hash nearest to it; two documents share that hash as often as they
 share shingles. Two neighbouring pivots' hashes make a bucket. In a bucket the fingerprints' table of distances to the pivots
 discards pairs by their maximum coordinate difference, and each row's nearest ones within RADIUS bits become candidates. Candidates are
-verified by the exact Jaccard similarity of their shingle sets. The survivors of a round go through the next one.
+verified by the exact Jaccard similarity of their shingle sets. A crowded bucket is dealt out as all pairs of its tiles.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from .simhash import _WORD, fingerprint, pivots, shingle_hashes
 TABLES = 10
 RADIUS = 20
 NEAREST = 4
-#: Rows of a bucket that one task compares; a larger bucket is dealt out anew in each round, in which only survivors are.
-TILE = 256
-ROUNDS = 3
+#: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of tiles.
+TILE = 1024
 #: Bits of the filter that keeps most texts without candidates out of the verifying join.
 FILTER_BITS = 1 << 24
 
@@ -63,40 +62,44 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, a long, b long, fp long, keys array<long>")
 
 
-def nearest_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-    """(id before, id) candidates of one bucket: for each row the NEAREST ones before it within RADIUS bits at most."""
+def nearest_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, tiles: np.ndarray) -> list[tuple[int, int]]:
+    """(id before, id) candidates of one bucket: for each row the NEAREST ones before it within RADIUS bits at most. Rows of two tiles are only compared across."""
     out = []
+    across = bool((tiles != tiles[0]).any())
     for i in range(1, len(ids)):
-        at = np.flatnonzero(np.abs(table[:i] - table[i]).max(axis=1) <= RADIUS)
+        close = np.abs(table[:i] - table[i]).max(axis=1) <= RADIUS
+        at = np.flatnonzero(close & (tiles[:i] != tiles[i]) if across else close)
         d = np.bitwise_count(fps[at] ^ fps[i])
         order = np.argsort(d, kind="stable")[:NEAREST]
         out += [(int(ids[at[k]]), int(ids[i])) for k in order if d[k] <= RADIUS]
     return out
 
 
-def _candidates(live: DataFrame, turn: int) -> DataFrame:
+def _candidates(live: DataFrame) -> DataFrame:
     """Distinct (a, b) with a < b among live rows (id, fp, keys)."""
     keyed = live.select("id", "fp", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     crowd = keyed.groupBy("key").count().where(F.col("count") > TILE)
     # a crowded key has a row for each salt, so that no join has a hot key; written first, so that Spark sees how few they are
     hot = stash(crowd.select("key", F.ceil(F.col("count") / TILE).alias("tiles"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "crowded-keys")
-    warm = keyed.join(hot, ["key", "salt"], "left_anti").select("id", "fp", F.xxhash64("key").alias("g"))
-    split = keyed.join(hot, ["key", "salt"]).select("id", "fp", F.xxhash64("key", F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.col("tiles"))).alias("g"))
+    warm = keyed.join(hot, ["key", "salt"], "left_anti").select("id", "fp", F.lit(0).cast("long").alias("own"), F.xxhash64("key").alias("g"))
+    tiled = keyed.join(hot, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("tiles")))
+    split = tiled.select("id", "fp", "own", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    split = split.select("id", "fp", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
     dealt = warm.unionByName(split).repartition("g").sortWithinPartitions("g", "id")
     refs = pivots()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["g"]):
-            g, ids, fps = t["g"].to_numpy(), t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+            g, ids, fps, own = t["g"].to_numpy(), t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()
             table = np.stack([np.bitwise_count(fps ^ r) for r in refs], axis=1).astype(np.int16)
             cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
             pairs = []
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if y - x > 1:
-                    pairs += nearest_pairs(ids[x:y], fps[x:y], table[x:y])
+                    pairs += nearest_pairs(ids[x:y], fps[x:y], table[x:y], own[x:y])
             yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], type=pa.int64()), pa.array([max(p) for p in pairs], type=pa.int64())], names=["a", "b"])
 
-    return dealt.select("g", "id", "fp").mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return dealt.select("g", "id", "fp", "own").mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
 class IdFilter:
@@ -172,24 +175,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = stash(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "signatures")
     classes = signed.groupBy("a", "b").agg(F.min(F.struct("id", "fp", "keys")).alias("m"), F.max("id").alias("last"))
     classes = stash(classes.select("a", "b", F.col("m.id").alias("id"), F.col("m.fp").alias("fp"), F.col("m.keys").alias("keys"), (F.col("last") > F.col("m.id")).alias("many")), "classes")
-    live, gone = classes.select("id", "fp", "keys"), [_copies(signed, classes)]
-    for turn in range(ROUNDS):
-        pairs = stash(_candidates(live, turn), "candidates")
-        ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
-        sets = stash(_shingle_sets(docs, ids, id_col, text_col, shingle).dropDuplicates(["id"]), "shingle-sets")
-        links = stash(_verified(pairs, sets, similarity), "links")
-        for t in (pairs, ids, sets):
-            forget(t)
-        if links.isEmpty():
-            break
-        lost = stash(components(links).where("node <> root").select(F.col("node").alias("id")), "near-copies")
-        gone.append(lost)
-        if turn < ROUNDS - 1:
-            live = stash(live.join(lost, "id", "left_anti"), "live")
-    dead = gone[0]
-    for more in gone[1:]:
-        dead = dead.unionByName(more)
-    dead = stash(dead.distinct(), "gone")
+    pairs = stash(_candidates(classes.select("id", "fp", "keys")), "candidates")
+    ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
+    sets = stash(_shingle_sets(docs, ids, id_col, text_col, shingle).dropDuplicates(["id"]), "shingle-sets")
+    links = stash(_verified(pairs, sets, similarity), "links")
+    for t in (pairs, ids, sets):
+        forget(t)
+    lost = components(links).where("node <> root").select(F.col("node").alias("id"))
+    dead = stash(_copies(signed, classes).unionByName(lost).distinct(), "gone")
     # only rows that may go are shuffled
     key = F.col(id_col).cast("long")
     maybe = F.coalesce(IdFilter(dead).column(key), F.lit(False)) & key.isNotNull()
