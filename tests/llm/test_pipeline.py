@@ -88,6 +88,16 @@ def test_crowded_buckets_meet_whole(spark, monkeypatch):
     assert kept == brute_force(rows)
 
 
+def test_nearest_of_many_may_all_be_strangers(spark):
+    """A bucket's row has more strangers nearer by fingerprint than its true partner."""
+    own = lambda i, n: [f"w{i}x{j}" for j in range(n)]
+    passage = [f"p{k}" for k in range(80)]
+    rows = [(i, " ".join(passage + own(i, 20))) for i in range(300)]
+    rows += [(1000 + i, " ".join(passage + own(i, 11) + own(1000 + i, 9))) for i in range(100)]
+    kept = {r["doc_id"] for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == brute_force(rows)
+
+
 def brute_force(rows):
     """Ids that stay: the smallest of each component of exact links."""
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}

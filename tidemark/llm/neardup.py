@@ -3,7 +3,7 @@
 Similarity 0.8 leaves 64-bit fingerprints too far apart for an exact search within a few bits, so pivots serve twice here. For each
 reference fingerprint a document is known by its shingle hash nearest to it; two documents share that hash as often as they
 share shingles. Two neighbouring pivots' hashes make a bucket. In a bucket the fingerprints' table of distances to the pivots
-discards pairs by their maximum coordinate difference, and each row's nearest ones within RADIUS bits become candidates. Candidates are
+discards pairs by their maximum coordinate difference, and all pairs within RADIUS bits become candidates. Candidates are
 verified by the exact Jaccard similarity of their shingle sets. A crowded bucket is dealt out as all pairs of its tiles.
 """
 
@@ -24,7 +24,6 @@ from .simhash import _WORD, fingerprint, pivots, shingle_hashes
 
 TABLES = 10
 RADIUS = 20
-NEAREST = 4
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of tiles.
 TILE = 1024
 #: Bits of the filter that keeps most texts without candidates out of the verifying join.
@@ -41,12 +40,12 @@ def nearest_hashes(hashes: np.ndarray, refs: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, a, b, fp, keys): a and b tell word sequences apart; keys has TABLES bucket keys, none for a text without words."""
+    """(id, a, b, fp, size, keys): a and b tell word sequences apart; size is the number of distinct shingles; keys has TABLES bucket keys, none for a text without words."""
     refs = pivots(TABLES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, fps, keys = [], [], [], []
+            a, b, fps, sizes, keys = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 words = b" ".join(_WORD.findall((t or "").encode("utf-8", "surrogatepass").lower()))
                 whole = xxhash.xxh3_128_digest(words)
@@ -54,52 +53,59 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 b.append(int.from_bytes(whole[8:], "big", signed=True))
                 hashes = shingle_hashes(t, shingle)
                 fps.append(fingerprint(hashes))
-                near = nearest_hashes(np.unique(hashes), refs) if len(hashes) else []
+                distinct = np.unique(hashes)
+                sizes.append(len(distinct))
+                near = nearest_hashes(distinct, refs) if len(hashes) else []
                 keys.append([xxhash.xxh64_intdigest(f"{i}:{x}:{near[(i + 1) % TABLES]}", 5) >> 1 for i, x in enumerate(near)])
-            columns = [batch.column(0), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "fp", "keys"])
+            columns = [batch.column(0), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "fp", "size", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, a long, b long, fp long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, a long, b long, fp long, size long, keys array<long>")
 
 
-def nearest_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, tiles: np.ndarray) -> list[tuple[int, int]]:
-    """(id before, id) candidates of one bucket: for each row the NEAREST ones before it within RADIUS bits at most. Rows of two tiles are only compared across."""
-    out = []
+def near_pairs(ids: np.ndarray, fps: np.ndarray, table: np.ndarray, tiles: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ids before, ids) of one bucket's candidates: all pairs within RADIUS bits whose numbers of shingles allow the similarity. Rows of two tiles are only compared across."""
+    before, after = [ids[:0]], [ids[:0]]
     across = bool((tiles != tiles[0]).any())
     for i in range(1, len(ids)):
         close = np.abs(table[:i] - table[i]).max(axis=1) <= RADIUS
         at = np.flatnonzero(close & (tiles[:i] != tiles[i]) if across else close)
-        d = np.bitwise_count(fps[at] ^ fps[i])
-        order = np.argsort(d, kind="stable")[:NEAREST]
-        out += [(int(ids[at[k]]), int(ids[i])) for k in order if d[k] <= RADIUS]
-    return out
+        fits = np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i])
+        at = at[fits & (np.bitwise_count(fps[at] ^ fps[i]) <= RADIUS)]
+        before.append(ids[at])
+        after.append(np.full(len(at), ids[i]))
+    return np.concatenate(before), np.concatenate(after)
 
 
-def _candidates(live: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b among live rows (id, fp, keys)."""
-    keyed = live.select("id", "fp", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+def _candidates(live: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) with a < b among live rows (id, fp, size, keys)."""
+    keyed = live.select("id", "fp", "size", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     crowd = keyed.groupBy("key").count().where(F.col("count") > TILE)
     # a crowded key has a row for each salt, so that no join has a hot key; written first, so that Spark sees how few they are
     hot = stash(crowd.select("key", F.ceil(F.col("count") / TILE).alias("tiles"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")), "crowded-keys")
-    warm = keyed.join(hot, ["key", "salt"], "left_anti").select("id", "fp", F.lit(0).cast("long").alias("own"), F.xxhash64("key").alias("g"))
+    warm = keyed.join(hot, ["key", "salt"], "left_anti").select("id", "fp", "size", F.lit(0).cast("long").alias("own"), F.xxhash64("key").alias("g"))
     tiled = keyed.join(hot, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("tiles")))
-    split = tiled.select("id", "fp", "own", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    split = split.select("id", "fp", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
+    split = tiled.select("id", "fp", "size", "own", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    split = split.select("id", "fp", "size", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"))
     dealt = warm.unionByName(split).repartition("g").sortWithinPartitions("g", "id")
     refs = pivots()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["g"]):
             g, ids, fps, own = t["g"].to_numpy(), t["id"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["own"].to_numpy()
+            sizes = t["size"].to_numpy()
             table = np.stack([np.bitwise_count(fps ^ r) for r in refs], axis=1).astype(np.int16)
             cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            pairs = []
+            before, after = [ids[:0]], [ids[:0]]
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if y - x > 1:
-                    pairs += nearest_pairs(ids[x:y], fps[x:y], table[x:y], own[x:y])
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], type=pa.int64()), pa.array([max(p) for p in pairs], type=pa.int64())], names=["a", "b"])
+                    a, b = near_pairs(ids[x:y], fps[x:y], table[x:y], own[x:y], sizes[x:y], similarity)
+                    before.append(a)
+                    after.append(b)
+            a, b = np.concatenate(before), np.concatenate(after)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt.select("g", "id", "fp", "own").mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return dealt.select("g", "id", "fp", "size", "own").mapInArrow(run, "a long, b long").where("a < b").distinct()
 
 
 class IdFilter:
@@ -173,9 +179,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty table stays empty.
     """
     signed = stash(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "signatures")
-    classes = signed.groupBy("a", "b").agg(F.min(F.struct("id", "fp", "keys")).alias("m"), F.max("id").alias("last"))
-    classes = stash(classes.select("a", "b", F.col("m.id").alias("id"), F.col("m.fp").alias("fp"), F.col("m.keys").alias("keys"), (F.col("last") > F.col("m.id")).alias("many")), "classes")
-    pairs = stash(_candidates(classes.select("id", "fp", "keys")), "candidates")
+    classes = signed.groupBy("a", "b").agg(F.min(F.struct("id", "fp", "size", "keys")).alias("m"), F.max("id").alias("last"))
+    classes = stash(classes.select("a", "b", F.col("m.id").alias("id"), F.col("m.fp").alias("fp"), F.col("m.size").alias("size"), F.col("m.keys").alias("keys"), (F.col("last") > F.col("m.id")).alias("many")), "classes")
+    pairs = stash(_candidates(classes.select("id", "fp", "size", "keys"), similarity), "candidates")
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
     sets = stash(_shingle_sets(docs, ids, id_col, text_col, shingle).dropDuplicates(["id"]), "shingle-sets")
     links = stash(_verified(pairs, sets, similarity), "links")
