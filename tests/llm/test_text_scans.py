@@ -92,6 +92,22 @@ def test_redaction(spark):
     assert pii.redact(table(spark, [])).count() == 0 and pii.personal_data(table(spark, [])).count() == 0
 
 
+def test_redaction_masks_what_is_reported(spark):
+    texts = ["his SSN is 123-45-6789.", "order 123-45-6789 of today", "😀 SSN 123-45-6789, mail a@b.co, 219-09-9999", "password=123-45-6789012 card 4111111111111111", "key +1 4111 1111 1111 1111 a@b.co@10.0.0.1"] + PERSONAL
+    docs = table(spark, texts)
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    masks = {k.name: (i, k.mask) for i, k in enumerate(pii.BASE + pii.ADDED)}
+    for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()):
+        want, at = "", 0
+        for a, _, b, mask in sorted((int(a), masks[k][0], int(b), masks[k][1]) for k, a, b in (x.split(":") for x in (spans[i] or "").split(",") if x)):
+            if a >= at:
+                want += t[at:a] + mask
+            at = max(at, b)
+        assert (out[i] or "") == want + (t or "")[at:], t
+    assert out[0] == "his SSN is [SSN]." and out[1] == texts[1] and out[2] == "😀 SSN [SSN], mail [EMAIL], [SSN]"
+
+
 WORDS = {"en": "the of and to in is that with for this", "de": "der die und das ist nicht mit von für ein", "fr": "le la les des est une dans pour que avec", "es": "el los las una para con por del está como"}
 
 

@@ -9,7 +9,6 @@ run of matching characters takes linear time and no recursion.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +78,8 @@ ADDED = (
     Kind("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=[=:\x22' ])(?<=(?:password|passwd|secret|token|api_key|apikey)[\x22']?[ ]{0,2}[=:][ ]{0,2}[\x22']?)[A-Za-z0-9+/_-]{12,}+", lambda t: t.rlike(r"AKIA|(?:password|passwd|secret|token|api_key|apikey)[\x22']? {0,2}[=:]"), lambda m: F.lit(True), 0.6, "key|secret|password|token|aws", "[SECRET]"),
 )
 
+#: Of the columns that redact() adds for a while.
+_PREFIX = "_tidemark_spans_"
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -110,13 +111,13 @@ def _scored(text: Column, kind: Kind, name: Column) -> Column:
     return kept if kind in BASE else F.filter(kept, lambda x: x["score"] >= LEAST_SCORE)
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Adds a column of scored spans for each kind; text names a column that isn't null."""
+def _with_spans(docs: DataFrame, text: str, kinds: tuple[Kind, ...] = BASE + ADDED, prefix: str = "_") -> DataFrame:
+    """Adds a column of scored spans for each kind, named prefix and kind; a null text has none."""
     out = docs
-    for k in BASE + ADDED:
-        out = out.withColumn(f"_{k.name}", _proposed(F.col(text), k))
-    for k in BASE + ADDED:
-        out = out.withColumn(f"_{k.name}", _scored(F.col(text), k, F.col(f"_{k.name}")))
+    for k in kinds:
+        out = out.withColumn(f"{prefix}{k.name}", _proposed(F.col(text), k))
+    for k in kinds:
+        out = out.withColumn(f"{prefix}{k.name}", _scored(F.col(text), k, F.col(f"{prefix}{k.name}")))
     return out
 
 
@@ -141,18 +142,22 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("_id").alias(id_col), *counts, F.sha2(_listed(BASE), 256).alias("base_sha256"), _listed(BASE + ADDED).alias("spans"), F.array_max(scores).alias("max_score"))
 
 
-def redacted(text: Column, kind: Kind) -> Column:
-    """The text with the kind's confirmed matches masked; the rest is as it was."""
-    gaps, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    masked = F.transform(found, lambda m: F.when(kind.valid(m), F.lit(kind.mask)).otherwise(m))
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(gaps.alias("0"), masked.alias("1")), lambda x: F.array(x["0"], F.coalesce(x["1"], F.lit(""))))), "")
-    return F.when(kind.maybe(text), joined).otherwise(text)
-
-
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
-    """docs with confirmed personal data masked in text_col, kind by kind; every row and column stays, a null text stays null.
+    """docs with the spans that personal_data() reports for kinds masked in text_col; every row and column stays, a null text stays null.
 
-    Kinds that count only with context words (a score under LEAST_SCORE alone) aren't masked.
+    Spans that overlap get one mask, that of the span that starts first (of several, of the kind listed first), over all they cover.
     """
-    sure = [k for k in kinds if k.score >= LEAST_SCORE]
-    return reduce(lambda df, k: df.withColumn(text_col, redacted(F.col(text_col), k)), sure, docs)
+    found = _with_spans(docs, text_col, kinds, _PREFIX)
+    text, spans = F.col(text_col), F.col(f"{_PREFIX}all")
+
+    def marked(i: int, k: Kind) -> Column:
+        return F.transform(F.col(f"{_PREFIX}{k.name}"), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("kind"), x["e"].alias("e"), F.lit(k.mask).alias("mask")))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.array(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), x["mask"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+
+    found = found.withColumn(f"{_PREFIX}all", F.array_sort(F.concat(*[marked(i, k) for i, k in enumerate(kinds)])))
+    none = F.array().cast("array<string>")
+    masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*docs.columns)
