@@ -118,6 +118,20 @@ def test_probabilities_sum_to_one():
         assert (10 ** trie.log10(np.arange(256, dtype=np.int64) + code)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_rare_codes_are_never_pruned(spark):
+    """Over two million distinct codes, nearly all of them met once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 100000).astype(np.uint8).tobytes() + b" \xce\xbb" * (i == 5)).decode(), 1, "x") for i in range(40)]
+    rows.append((1000, rows[0][1][:300] + " \u03bb", 1, "x"))
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
+    keys, n = np.unique(np.concatenate([ppm.grams([ppm.lowered(t)])[0] for (_, t, *_), h in zip(rows, held, strict=True) if not h]), return_counts=True)
+    assert len(keys) > 2_000_000
+    trie = ppm.Trie(keys, n.astype(float))
+    out = {r["doc_id"]: r["score"] for r in scored(spark, rows).collect()}
+    for i, t, *_ in rows:
+        assert out[i] == pytest.approx(trie.score([ppm.lowered(t)])[0], rel=1e-5)
+
+
 def scored(spark, rows):
     return ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string, run long, t string"))
 

@@ -5,16 +5,16 @@ context; where it is new there, an escape (method C: as likely as the context ha
 context, and symbols of the longer one are excluded there. Since a context's symbols are also symbols of its suffixes, the mass that
 exclusion takes from the shorter context is a number that each node can carry, so whole arrays of bytes are scored at once.
 
-The trie has at most NODES entries of the longest order: rarer ones than the lowest count that fits are pruned, and what they say is left
-to shorter contexts. Word counts for the baseline are never pruned. They go to the documents by runs of rows of the input.
+No count is pruned, and no task holds the whole trie: tasks build it for some contexts' last two bytes at a time, with the counts of the two
+shortest orders (65536 at most) beside, and turn the distinct codes of the corpus into probabilities. These and the word counts of the baseline
+go to the documents by runs of rows of the input.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stash
+from .common import crc_mod, stash, whole_groups
 
 ORDER = 5
-NODES = 2_000_000
-#: Rows of a run: its distinct words are in memory together, its texts aren't.
+#: Codes that a task gathers before it builds a trie of them; the codes of one pair of bytes always come together.
+PART = 400_000
+#: Rows of a run: its distinct words and codes are in memory together, its texts aren't.
 RUN = 8_192
 #: Words that a task counts before it passes the counts on.
 HELD = 500_000
@@ -65,13 +66,58 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep[ORDER:]], np.cumsum(size) - size
 
 
+class Lookup:
+    """Values by code, with open addressing."""
+
+    def __init__(self, own: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(len(own), 1) * 3))))
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.float32)
+        rest, at = np.arange(len(own)), self._slot(own)
+        while len(rest):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = own[rest[free]]  # of several for a slot the last one stays
+            won = self.keys[at] == own[rest]
+            self.values[at[won]] = values[rest[won]]
+            rest, at = rest[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each code, 0 where it has none; places of those that have none)."""
+        out = np.zeros(len(codes))
+        rest, at = np.arange(len(codes)), self._slot(codes)
+        missing = [rest[:0]]
+        while len(rest):
+            key = self.keys[at]
+            hit = key == codes[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            gone = key == -1
+            missing.append(rest[gone])
+            on = ~(hit | gone)
+            rest, at = rest[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out, np.concatenate(missing)
+
+
+def summed(log10: Callable[[np.ndarray], np.ndarray], texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text and its end, from that of codes."""
+    out = np.zeros(len(texts))
+    for at in range(0, len(texts), 256):
+        codes, starts = grams(texts[at : at + 256])
+        out[at : at + 256] = np.add.reduceat(log10(codes), starts)
+    return out
+
+
 class Trie:
-    """Counts of (context, symbol) by order, turned into log10 probabilities."""
+    """Counts of (context, symbol) by order, turned into log10 probabilities.
+
+    shorter: codes and counts of the shortest orders over all texts, where codes are only those of some contexts' last bytes.
+    """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, shorter: Sequence[tuple[np.ndarray, np.ndarray]] = ()):
         self.entry, self.context = [], []
-        by_order = []
-        for order in range(ORDER + 1):
+        by_order = list(shorter)
+        for order in range(len(by_order), ORDER + 1):
             own, at = np.unique(codes & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
             by_order.append((own, np.bincount(at, weights=counts, minlength=len(own))))
         for order, (own, n) in enumerate(by_order):
@@ -90,40 +136,14 @@ class Trie:
             self.entry.append((own, np.log10(n).astype(np.float32), (np.log10(n) - np.log10((total + kinds)[at])).astype(np.float32)))
             self.context.append((ctx, np.log10(kinds) - np.log10(total + kinds), left, again, total, kinds))
         self.context = [(c[0], *(x.astype(np.float32) for x in c[1:4])) for c in self.context]
-        self._hash()
-
-    def _hash(self) -> None:
-        """Open addressing for the longest order."""
         own, _, top = self.entry[ORDER]
-        self.bits = max(4, int(np.ceil(np.log2(max(len(own), 1) * 3))))
-        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.float32)
-        rest, at = np.arange(len(own)), self._slot(own)
-        while len(rest):
-            free = self.keys[at] == -1
-            self.keys[at[free]] = own[rest[free]]  # of several for a slot the last one stays
-            won = self.keys[at] == own[rest]
-            self.values[at[won]] = top[rest[won]]
-            rest, at = rest[~won], (at[~won] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.longest = Lookup(own, top)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's symbol after its context."""
         if not len(self.entry[0][0]):
             return np.full(len(codes), -np.log10(256.0))
-        out = np.zeros(len(codes))
-        rest, at = np.arange(len(codes)), self._slot(codes)
-        missing = []
-        while len(rest):
-            key = self.keys[at]
-            hit = key == codes[rest]
-            out[rest[hit]] = self.values[at[hit]]
-            gone = key == -1
-            missing.append(rest[gone])
-            on = ~(hit | gone)
-            rest, at = rest[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        lost = np.concatenate(missing) if missing else np.zeros(0, dtype=np.int64)
+        out, lost = self.longest.get(codes)
         if len(lost):
             out[lost] = self._escaped(codes[lost])
         return out
@@ -135,6 +155,8 @@ class Trie:
         for order in range(ORDER, -1, -1):
             own, logs, top = self.entry[order]
             ctx, escape, _, _ = self.context[order]
+            if not len(own):  # no training text has these contexts
+                continue
             code = codes & ((1 << 8 * (order + 1)) - 1)
             e = np.minimum(np.searchsorted(own, code), len(own) - 1)
             c = np.minimum(np.searchsorted(ctx, code >> 8), len(ctx) - 1)
@@ -156,15 +178,11 @@ class Trie:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
-        out = np.zeros(len(texts))
-        for at in range(0, len(texts), 256):
-            codes, starts = grams(texts[at : at + 256])
-            out[at : at + 256] = np.add.reduceat(self.log10(codes), starts)
-        return out
+        return summed(self.log10, texts)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(kind, run, key, n): by run the words and how often they are in training texts (kind 0), and byte codes of training texts (kind 1)."""
+    """(kind, run, key, n): by run the words (kind 0) and byte codes (kind 1), and how often they are in training texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, codes = None, Counter(), []
@@ -179,14 +197,29 @@ def _counted(rows: DataFrame) -> DataFrame:
             keys, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
             return keys, np.bincount(at, weights=np.concatenate([n for _, n in codes]), minlength=len(keys)).astype(np.int64)
 
+        def gather(texts: list[bytes], learnt: bool) -> None:
+            keys, n = np.unique(grams(texts)[0], return_counts=True)
+            codes.append((keys, n if learnt else np.zeros(len(keys), dtype=np.int64)))
+            if sum(len(c) for c, _ in codes) > 1_500_000:
+                codes[:] = [merged()]
+
         for b in batches:
             texts = b.column(2).to_pylist()
             held, runs = b.column(1).to_pylist(), b.column(0).to_pylist()
-            learn: list[bytes] = []
+            waiting: dict[bool, list[bytes]] = {True: [], False: []}
             for i, t in enumerate(texts):
-                if (runs[i] != now or len(words) >= HELD) and words:
-                    yield words_out()
+                if runs[i] != now or len(words) >= HELD:
+                    if words:
+                        yield words_out()
                     words = Counter()
+                if runs[i] != now:
+                    for learnt, some in waiting.items():
+                        if some:
+                            gather(some, learnt)
+                    waiting = {True: [], False: []}
+                    if codes:
+                        yield out(1, now, *merged())
+                    codes = []
                 now = runs[i]
                 data = lowered(t)
                 own = words_of(data)
@@ -194,44 +227,55 @@ def _counted(rows: DataFrame) -> DataFrame:
                     words.update(dict.fromkeys(own, 0))
                 else:
                     words.update(own)
-                    learn.append(data)
-                if learn and (len(learn) >= 512 or i == len(texts) - 1):
-                    codes.append(np.unique(grams(learn)[0], return_counts=True))
-                    learn = []
-            if learn:
-                codes.append(np.unique(grams(learn)[0], return_counts=True))
-            if len(codes) > 1 and sum(len(c) for c, _ in codes) > 1_500_000:
-                codes = [merged()]
+                some = waiting[not held[i]]
+                some.append(data)
+                if len(some) >= 512:
+                    gather(some, not held[i])
+                    some.clear()
+            for learnt, some in waiting.items():
+                if some:
+                    gather(some, learnt)
         if words:
             yield words_out()
         if codes:
-            yield out(1, None, *merged())
+            yield out(1, now, *merged())
 
     return rows.select("run", "held", "t").mapInArrow(run, "kind int, run long, key long, n long")
 
 
-def _pruned(codes: DataFrame, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the trie, pruned to nodes entries at most by the lowest count that fits."""
-    steps = [1 << i for i in range(40)]
-    above = codes.agg(*[F.count_if(F.col("n") >= s).alias(f"a{s}") for s in steps]).first()
-    least = next((s for s, n in zip(steps, above, strict=True) if n <= nodes), steps[-1])
-    got = codes.where(F.col("n") >= least).select("key", "n").toArrow()  # nodes rows at most
-    return got["key"].to_numpy(), got["n"].to_numpy()
-
-
-_tries: dict[str, Trie] = {}
+def _shortest(codes: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts of orders 0 and 1: 256 and 65536 at most."""
+    got = codes.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    pairs, n = got["key"].to_numpy(), got["n"].to_numpy().astype(np.float64)
+    single, at = np.unique(pairs & 0xFF, return_inverse=True)
+    return [(single, np.bincount(at, weights=n, minlength=len(single))), (pairs, n)]
 
 
-def _trie(name: str, sent) -> Trie:
-    """This process's trie of broadcast codes and counts; one is kept."""
-    if name not in _tries:
-        _tries.clear()
-        keys, counts = sent.value
-        _tries[name] = Trie(keys, counts.astype(np.float64))
-    return _tries[name]
+def _probabilities(codes: DataFrame) -> DataFrame:
+    """(key, p): the log10 probability of each distinct code (key, n); codes whose contexts end in the same two bytes are worked out together."""
+    sent = codes.sparkSession.sparkContext.broadcast(_shortest(codes))
 
-
-def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.Table]) -> pa.RecordBatch:
+            t = pa.concat_tables(held)
+            keys, n = t["key"].to_numpy(), t["n"].to_numpy()
+            p = Trie(keys[n > 0], n[n > 0].astype(np.float64), sent.value).log10(keys)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p.astype(np.float32))], names=["key", "p"])
+
+        held: list[pa.Table] = []
+        for t in whole_groups(batches, ["end"]):
+            held.append(t)
+            if sum(x.num_rows for x in held) >= PART:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    end = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("end")
+    return codes.select(end, "key", "n").repartition("end").sortWithinPartitions("end").mapInArrow(run, "key long, p float")
+
+
+def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out rows (crc32 of the id as text has remainder 2 by 7) aren't learnt from; a null id is not held out. Tokens are words of the text
@@ -252,20 +296,21 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted = stash(_counted(rows), "counts")
     codes = stash(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "codes")
-    sent, name = spark.sparkContext.broadcast(_pruned(codes, nodes)), uuid.uuid4().hex
+    chances = stash(_probabilities(codes), "probabilities")
     words = counted.where("kind = 0")
     totals = stash(words.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
     tokens, distinct = (int(x) for x in totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     floor = float(np.log10(tokens + distinct + 1))
 
-    # a key has a row for each run that has the word, never one for each document
-    known = words.join(totals, "key").select("run", F.lit(0).alias("kind"), "key", "c", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("string").alias("t"))
-    texts = rows.select("run", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("c"), "id", "held", "t")
-    dealt = known.unionByName(texts).repartition("run").sortWithinPartitions("run", "kind")
+    # a key has a row for each run that has the word or code, never one for each document
+    known = words.join(totals, "key").select("run", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("c"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("string").alias("t"))
+    chance = counted.where("kind = 1").join(chances, "key").select("run", F.lit(1).alias("kind"), "key", F.col("p").cast("double").alias("c"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("string").alias("t"))
+    texts = rows.select("run", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("c"), "id", "held", "t")
+    dealt = known.unionByName(chance).unionByName(texts).repartition("run").sortWithinPartitions("run", "kind")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs, now = _trie(name, sent), _Logs(), None
+        logs, now, model, gathered = _Logs(), None, None, []
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
@@ -273,8 +318,13 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cuts = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]) | (kinds[1:] != kinds[:-1]), True]).tolist()
                 for x, y in zip(cuts, cuts[1:], strict=False):
                     if runs[x] != now:
-                        now, logs = runs[x], _Logs()
+                        now, logs, model, gathered = runs[x], _Logs(), None, []
                     part = b.slice(x, y - x)
+                    if kinds[x] == 1:
+                        gathered.append((part.column(2).to_numpy(), part.column(3).to_numpy().astype(np.float32)))
+                        continue
+                    if kinds[x] == 2 and model is None:
+                        model, gathered = Lookup(*(np.concatenate(c) for c in zip(*gathered, strict=True))), []
                     if not kinds[x]:
                         logs.by_key.update(zip(part.column(2).to_pylist(), np.log10(part.column(3).to_numpy() + 1.0).tolist(), strict=True))
                         continue
@@ -282,7 +332,7 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found = [list(map(logs.__getitem__, words_of(d))) for d in data]
                     n = [len(f) for f in found]
                     base = [sum(f) - floor * len(f) for f in found]
-                    columns = [part.column(4), part.column(5), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(model.score(data))]
+                    columns = [part.column(4), part.column(5), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(summed(lambda c: model.get(c)[0], data))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return dealt.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
