@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import corpus_pipeline as cp
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -98,6 +100,55 @@ def test_nearest_of_many_may_all_be_strangers(spark):
     assert kept == brute_force(rows)
 
 
+def test_twins_among_twenty_thousand_pages_of_one_template(spark):
+    """Of pages that share three quarters of their words, and are no copies, each planted twin of similarity 0.8 or more goes."""
+    rng = random.Random(5)
+    shared = [f"p{k}" for k in range(78)]
+    pages = [" ".join(shared + [f"w{rng.randrange(50000)}" for _ in range(26)]) for _ in range(20000)]
+    twins = []
+    for j in range(300):
+        words = pages[j].split()
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(10**9)}"
+        twins.append(" ".join(words))
+    close = [j for j, t in enumerate(twins) for x, y in [(set(simhash.shingle_hashes(u, 5).tolist()) for u in (t, pages[j]))] if len(x & y) >= 0.8 * len(x | y)]
+    rows = [*enumerate(pages), *((100000 + j, t) for j, t in enumerate(twins))]
+    kept = {r["doc_id"] for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id").collect()}
+    assert len(close) > 200 and sum(100000 + j not in kept for j in close) >= 0.99 * len(close)
+    assert sum(i < 100000 for i in kept) == 20000
+
+
+def test_a_large_group_whose_copies_are_hardly_similar(spark, monkeypatch):
+    """Copies of one text with a few words changed: many pairs are just below the similarity."""
+    for name, value in (("CROWD", 8), ("TILE", 64)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, base, rows = random.Random(6), [f"b{k}" for k in range(120)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(120)] = f"z{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    kept = {r["doc_id"] for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == brute_force(rows)
+
+
+def test_near_duplicates_of_odd_input(spark):
+    schema = "doc_id long, text string, _gone string, id string, node long"
+    other = "other words stand here for the second text"
+    rows = [(1, None, "x", "a", 1), (2, "", "x", "a", 1), (3, other, "x", "a", 1), (3, "quite a different text under the same number", "x", "a", 1), (4, other.upper(), "x", "a", 1), (None, other, "x", "a", 1), (5, "quite a different text under the same number", "x", "a", 1)]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "_gone", "id", "node"]
+    assert sorted((r["doc_id"] or 0 for r in got.collect())) == [0, 1, 3, 3]
+    assert neardup.drop_near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_shared_counts():
+    rng = random.Random(7)
+    sets = [sorted({rng.randrange(60) for _ in range(rng.randrange(1, 30))}) for _ in range(40)]
+    got = neardup.shared_counts(np.concatenate([np.array(x, dtype=np.int64) for x in sets]), np.array([len(x) for x in sets]))
+    assert all(got[i, j] == len(set(a) & set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def brute_force(rows):
     """Ids that stay: the smallest of each component of exact links."""
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder and a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own_dir:
+            _own_dir.append(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        named = _own_dir[0]
     return named.rstrip("/")
 
 
@@ -34,9 +43,16 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other call uses; it is removed at the latest when this process ends."""
+    path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made)
+    _made.add(path)
+    return path
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -49,13 +65,38 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Removes what stash() wrote for df, if it did."""
-    path = getattr(df, "_tidemark_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _remove(path: str) -> None:
+    jvm = SparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+def _remove_made() -> None:
+    """What a result was still read from, or a failed run left."""
+    for path in list(_made):
+        try:
+            _remove(path)
+        except Exception:  # the process ends, perhaps without its JVM
+            return
+    for path in _own_dir:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes what stash() wrote for tables; nothing lazy may read them any more."""
+    for df in tables:
+        path = getattr(df, "_tidemark_path", None)
+        if path in _made:
+            _remove(path)
+            _made.discard(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with more underscores where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(column: str, by: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, group_value, stash
 
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds least: the smallest of u and its neighbours v."""
     return group_value(edges, ["u"], "v", F.min, F.min, "least").withColumn("least", F.least("least", "u"))
