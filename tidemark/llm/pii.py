@@ -80,31 +80,61 @@ ADDED = (
 
 #: Of the columns that redact() adds for a while.
 _PREFIX = "_tidemark_spans_"
-_SPAN = "array<struct<s:int,e:int,m:string>>"
+_FOUND = "array<struct<s:int,e:int,m:string,before:string>>"
+#: Spans that are taken together: an array grows by copying, so one of all spans would take quadratic time.
+BLOCK = 128
+
+
+def _blocks(spans: Column) -> Column:
+    """An array cut into arrays of BLOCK elements."""
+    count = F.ceil(F.size(spans) / BLOCK).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often a function inside needs it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _proposed(text: Column, kind: Kind) -> Column:
-    """Array of (s, e, m): the kind's matches by code points; the text is only searched if it may have one."""
+    """Array of (s, e, m, before): the kind's matches by code points, with the WINDOW code points before; the text is only searched if it may have one."""
     gaps, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    none = F.from_json(F.lit("[]"), _FOUND)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["1"].alias("m"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["m"])
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(WINDOW))
+        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), before.alias("before"))
+        return F.struct(e.alias("at"), F.right(F.concat(before, x["m"]), F.lit(WINDOW)).alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def offsets(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def tails(blocks: Column) -> Column:
+        """What stands before each block; a block is longer than WINDOW, but for the last one."""
+        return F.concat(F.array(F.lit("")), F.transform(blocks, lambda b: b["tail"]))
+
+    def placed(blocks: Column) -> Column:
+        def one(b: Column, i: Column, at: Column, tail: Column) -> Column:
+            shift, ahead = F.get(at, i), F.get(tail, i)
+            return F.transform(b["out"], lambda x: F.struct((x["s"] + shift).alias("s"), (x["e"] + shift).alias("e"), x["m"].alias("m"), F.right(F.concat(ahead, x["before"]), F.lit(WINDOW)).alias("before")))
+
+        return _once(offsets(blocks), lambda at: _once(tails(blocks), lambda tail: F.flatten(F.transform(blocks, lambda b, i: one(b, i, at, tail)))))
 
-    none = F.from_json(F.lit("[]"), _SPAN)
-    whole = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    return F.when(kind.maybe(text), F.aggregate(whole, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+    def whole(pairs: Column) -> Column:
+        return _once(F.transform(_blocks(pairs), lambda b: F.aggregate(b, start, step)), placed)
 
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("m"))
+    return F.when(kind.maybe(text), F.coalesce(_once(pairs, whole), none)).otherwise(none)
 
-def _scored(text: Column, kind: Kind, name: Column) -> Column:
+
+def _scored(kind: Kind, name: Column) -> Column:
     """The confirmed spans of column name, each with its score."""
 
     def score(x: Column) -> Column:
-        start = F.greatest(x["s"] - WINDOW, F.lit(0))
-        before = F.substr(text, start + 1, x["s"] - start)
-        gain = F.when(F.lower(before).rlike(rf"\b(?:{kind.words})"), CONTEXT_GAIN).otherwise(0.0)
+        gain = F.when(F.lower(x["before"]).rlike(rf"\b(?:{kind.words})"), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.least(F.lit(kind.score) + gain, F.lit(1.0)).alias("score"))
 
     kept = F.transform(F.filter(name, lambda x: kind.valid(x["m"])), score)
@@ -117,7 +147,7 @@ def _with_spans(docs: DataFrame, text: str, kinds: tuple[Kind, ...] = BASE + ADD
     for k in kinds:
         out = out.withColumn(f"{prefix}{k.name}", _proposed(F.col(text), k))
     for k in kinds:
-        out = out.withColumn(f"{prefix}{k.name}", _scored(F.col(text), k, F.col(f"{prefix}{k.name}")))
+        out = out.withColumn(f"{prefix}{k.name}", _scored(k, F.col(f"{prefix}{k.name}")))
     return out
 
 
@@ -153,11 +183,27 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = BA
     def marked(i: int, k: Kind) -> Column:
         return F.transform(F.col(f"{_PREFIX}{k.name}"), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("kind"), x["e"].alias("e"), F.lit(k.mask).alias("mask")))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.array(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), x["mask"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+    def pieces(whole: Column, b: Column, i: Column, ends: Column) -> Column:
+        """The text from the end of the spans before a block to the end of its own, masked. A block's part of the text is cut out once."""
+        begin = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        part = F.substr(whole, begin + 1, F.greatest(F.get(ends, i) - begin, F.lit(0)))
+
+        def said(region: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                fresh = F.array(F.substr(region, acc["at"] - begin + 1, x["s"] - acc["at"]), x["mask"])
+                return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(b, F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+
+        return _once(part, said)
+
+    def reach(blocks: Column) -> Column:
+        """For each block the largest end of it and those before it."""
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct(F.greatest(acc["at"], F.array_max(F.transform(b, lambda x: x["e"]))).alias("at"), F.concat(acc["out"], F.array(F.greatest(acc["at"], F.array_max(F.transform(b, lambda x: x["e"]))))).alias("out")), lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        return _once(reach(blocks), lambda ends: F.concat(F.array_join(F.transform(blocks, lambda b, i: pieces(text, b, i, ends)), ""), F.substr(text, F.element_at(ends, -1) + 1)))
 
     found = found.withColumn(f"{_PREFIX}all", F.array_sort(F.concat(*[marked(i, k) for i, k in enumerate(kinds)])))
-    none = F.array().cast("array<string>")
-    masked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    masked = _once(_blocks(spans), joined)
     return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*docs.columns)
