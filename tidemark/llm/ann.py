@@ -1,7 +1,8 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Vectors of one label are dealt into shards of bounded size, and each shard gets a graph. Every vector, in blocks, queries every
-shard of its label. A search descends the layers, runs a beam over the lowest one and then follows all neighbours over the
+Equal vectors of a label are one node from the start. The nodes of one label are dealt into shards of bounded size, and each shard
+gets a graph. Every node, in blocks, queries every shard of its label: a task loads the graph of one shard and streams blocks past it, so
+what is shuffled for a shard is the blocks, and one copy of the shard for each STREAM of them. A search descends the layers, runs a beam over the lowest one and then follows all neighbours over the
 threshold, so a large group of copies isn't cut off by the beam's width. Each block audits its recall against brute force over
 some of its queries and doubles the beam until the audit passes; a beam as wide as the shard that still fails gives way to a
 scan of that shard. Cosines are verified in double precision. A task gives counts and a forest of its links, never pairs.
@@ -19,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_value, stash, whole_groups
+from .common import SALTS, group_value, stash, whole_groups
 from .components import components
 
 SHARD = 8192
 BLOCK = 512
+#: Blocks that one task streams past a shard.
+STREAM = 64
 LINKS = 12
 BUILD_BEAM = 48
 BEAM = 32
@@ -216,8 +219,13 @@ def _roots(count: int, pairs: Iterable[tuple[int, np.ndarray]]) -> list[int]:
     return [find(x) for x in range(count)]
 
 
-def _blocks(df: DataFrame, size: int, graphs: bool) -> DataFrame:
-    """Packs the rows (g, rid, vector, n: rows of g) into blobs of about size rows; with graphs, also builds each one's graph."""
+def _bytes(type_name: str) -> type:
+    """How vectors travel: single precision where the table has it."""
+    return np.float32 if type_name == "array<float>" else np.float64
+
+
+def _packed(df: DataFrame, size: int, graphs: bool, tasks: int, kind: type) -> DataFrame:
+    """Packs the rows (g, rid, vector, n: rows of g) into blobs of about size rows, numbered by part within g; with graphs, also builds each one's graph."""
     part = df.withColumn("part", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / size))).withColumn("k", F.xxhash64("g", "part"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,12 +235,32 @@ def _blocks(df: DataFrame, size: int, graphs: bool) -> DataFrame:
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own = t.slice(a, b - a)
                 order = np.argsort(own["rid"].to_numpy(), kind="stable")
-                rid = own["rid"].to_numpy()[order]
                 flat = own["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)[order]
                 near, upper, entry = Graph(unit(flat).astype(np.float32)).build().packed() if graphs else (b"", b"", 0)
-                yield pa.RecordBatch.from_arrays([pa.array([x], type=kind) for x, kind in ((g[a], pa.string()), (int(k[a]), pa.int64()), (rid.tobytes(), pa.binary()), (np.ascontiguousarray(flat, dtype=np.float64).tobytes(), pa.binary()), (near, pa.binary()), (upper, pa.binary()), (entry, pa.int32()))], names=["g", "k", "rids", "vectors", "near", "upper", "entry"])
+                blob = np.ascontiguousarray(flat, dtype=kind).tobytes()
+                row = (g[a], pa.string()), (own["n"][0].as_py(), pa.int64()), (own["part"][0].as_py(), pa.int64()), (own["rid"].to_numpy()[order].tobytes(), pa.binary()), (own["weight"].to_numpy()[order].tobytes(), pa.binary()), (blob, pa.binary()), (near, pa.binary()), (upper, pa.binary()), (entry, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=kind_) for x, kind_ in row], names=[x.split()[0] for x in _BLOB.split(", ")])
+
+    return part.select("g", "n", "k", "part", "rid", "weight", "vector").repartition(tasks, "k", "g").sortWithinPartitions("k", "g").mapInArrow(run, _BLOB)
+
 
-    return part.select("g", "k", "rid", "vector").repartition("k", "g").sortWithinPartitions("k", "g").mapInArrow(run, "g string, k long, rids binary, vectors binary, near binary, upper binary, entry int")
+_BLOB = "g string, n long, part long, rids binary, weights binary, vectors binary, near binary, upper binary, entry int"
+
+
+def _meetings(able: DataFrame, kind: type) -> DataFrame:
+    """Each block with each shard of its label: rows (k, kind, ...) by k, the shard's own row (kind 0) first, then its blocks (kind 1)."""
+    number = able.select("g", "n").distinct().agg(F.coalesce(F.sum(F.ceil(F.col("n") / SHARD)), F.lit(1))).first()[0]
+    tasks = max(able.sparkSession.sparkContext.defaultParallelism, min(2 * int(number), 1 << 15))
+    shards = stash(_packed(able, SHARD, True, tasks, kind), "graphs")
+    blocks = stash(_packed(able, BLOCK, False, tasks, kind), "blocks")
+    own = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.ceil(F.col("n") / BLOCK) - 1) / STREAM)))
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SHARD) - 1))
+    served = shards.withColumn("stream", own).select(F.xxhash64("g", "part", "stream").alias("k"), F.lit(0).alias("kind"), "rids", "weights", "vectors", "near", "upper", "entry")
+    asked = blocks.withColumn("shard", to).withColumn("stream", F.floor(F.col("part") / STREAM).cast("long"))
+    asked = asked.select(F.xxhash64("g", "shard", "stream").alias("k"), F.lit(1).alias("kind"), "rids", "weights", "vectors", "near", "upper", "entry")
+    streams = able.select("g", "n").distinct().agg(F.coalesce(F.sum(F.ceil(F.col("n") / SHARD) * (F.floor((F.ceil(F.col("n") / BLOCK) - 1) / STREAM) + 1)), F.lit(1))).first()[0]
+    tasks = max(able.sparkSession.sparkContext.defaultParallelism, min(2 * int(streams), 1 << 15))
+    return served.unionByName(asked).repartition(tasks, "k").sortWithinPartitions("k", "kind")
 
 
 def embedding_components(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
@@ -241,36 +269,55 @@ def embedding_components(vectors: DataFrame, least: float = 0.98, id_col: str =
     Rows of equal labels (not null; all rows where label_col is None) and equal lengths are linked where their cosine is least or more.
     A vector that is null, empty or all zero, or holds a null or a number that isn't finite, has no links. n_links counts the other
     rows linked; component_id is the smallest id reachable, its own included; kept says that it is the row's own id. Repeated
-    rows are vectors of their own. A null id takes no part in the smallest id. An empty table gives no rows; other columns are not read.
+    rows are vectors of their own and linked. A null id takes no part in the smallest id. An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
-    rows = stash(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), label.alias("label")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    kind = _bytes(vectors.schema[vector_col].dataType.simpleString())
+    wide = "array<float>" if kind is np.float32 else "array<double>"
+    rows = stash(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(wide).alias("vector"), label.alias("label")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     able = rows.where(F.col("label").isNotNull() & sound).select("rid", "vector", F.concat_ws(":", F.size("vector"), "label").alias("g"))
-    able = stash(group_value(able, ["g"], "rid", F.count, F.sum, "n"), "able-vectors")
-    shards = stash(_blocks(able, SHARD, True), "graphs")
-    blocks = stash(_blocks(able, BLOCK, False).select("g", F.col("k").alias("block"), F.col("rids").alias("q_rids"), F.col("vectors").alias("q_vectors")), "blocks")
+    # copies: those of one hash of 128 bits are one node, that of the smallest number
+    marked = able.select("g", "rid", F.xxhash64("vector").alias("m"), F.xxhash64(F.lit("copy"), "vector").alias("mm"))
+    copies = stash(group_value(marked, ["g", "m", "mm"], "rid", F.min, F.min, "node"), "copies").select("rid", "node", "g")
+    weights = copies.groupBy("node").agg(F.count("*").alias("weight"))
+    sizes = copies.where("rid = node").groupBy("g").agg(F.count("*").alias("n"))
+    nodes = able.join(weights.withColumnRenamed("node", "rid"), "rid")
+    salted = nodes.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    able = stash(salted.join(salted.select("g", "salt").distinct().join(sizes, "g"), ["g", "salt"]).drop("salt"), "able-vectors")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, graph, nodes, node_ids, node_weights = None, None, None, None, None
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
-                ids, node_ids = np.frombuffer(r["q_rids"], dtype=np.int64), np.frombuffer(r["rids"], dtype=np.int64)
-                queries, nodes = (unit(np.frombuffer(r[c], dtype=np.float64).reshape(len(i), -1)) for c, i in (("q_vectors", ids), ("vectors", node_ids)))
-                found = linked(queries, ids, Graph.unpacked(nodes.astype(np.float32), r["near"], r["upper"], r["entry"]), nodes, node_ids, least)
+                ids = np.frombuffer(r["rids"], dtype=np.int64)
+                units = unit(np.frombuffer(r["vectors"], dtype=kind).reshape(len(ids), -1))
+                weight = np.frombuffer(r["weights"], dtype=np.int64)
+                if not r["kind"]:
+                    now, nodes, node_ids, node_weights = r["k"], units, ids, weight
+                    graph = Graph.unpacked(units.astype(np.float32), r["near"], r["upper"], r["entry"])
+                    continue
+                if r["k"] != now:  # a shard without any row
+                    continue
+                found = linked(units, ids, graph, nodes, node_ids, least)
                 every, place = np.unique(np.concatenate([ids, node_ids]), return_inverse=True)
                 mine, theirs = place[: len(ids)], place[len(ids) :]
                 root = every[np.array(_roots(len(every), ((int(mine[i]), theirs[f]) for i, f in enumerate(found))), dtype=np.int64)]
                 loose = root != every
-                counts = np.array([len(f) for f in found], dtype=np.int64)
+                counts = np.array([node_weights[f].sum() for f in found], dtype=np.int64)
                 some = counts > 0
                 out = [(ids[some], ids[some], counts[some]), (root[loose], every[loose], np.zeros(loose.sum(), dtype=np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "links"])
 
-    pairs = blocks.join(shards.select("g", "k", "rids", "vectors", "near", "upper", "entry"), "g").repartition("block", "k")
-    found = stash(pairs.mapInArrow(run, "a long, b long, links long"), "links")
-    links = found.where("links > 0").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("n_links"))
+    found = stash(_meetings(able, kind).mapInArrow(run, "a long, b long, links long"), "links")
+    links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     rooted = components(found.where("links = 0").select("a", "b"))
-    known = stash(rows.select("id", "rid").join(links, "rid", "left").join(rooted, F.col("rid") == F.col("node"), "left").select("id", "rid", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rid").alias("root")), "rooted")
+    known = weights.join(links, "node", "left").join(rooted, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    # a node's copies are dealt over salts where they meet it
+    salted = copies.select("rid", "node", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt"))
+    each = salted.join(salted.select("node", "salt").distinct().join(known, "node"), ["node", "salt"]).select("rid", "n_links", "root")
+    known = stash(rows.select("id", "rid").join(each, "rid", "left").select("id", "rid", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rid").alias("root")), "rooted")
     named = group_value(known, ["root"], "id", F.min, F.min, "component_id")
     return named.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
