@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-The writer range-sorts the records: ids are cut into shards of about equal payload by a histogram of fixed cells, so shards don't
-depend on sampling or on the number of tasks. A task writes a shard's records in order, each as a gzip member of its own, and
+The writer range-sorts the records: ids are cut into shards of about equal payload by a histogram of ids, whose cells are cut again
+where they hold more than a shard, so shards don't depend on sampling, on the number of tasks or on far ids. One id (or no id) with more
+than a shard of records is dealt over several shards by its records' URL and payload. A task writes a shard's records in order, each as a gzip member of its own, and
 rolls to the next file at a compressed size. Headers, record ids and digests are made anew from the content, without clock or
 random numbers. A file is written under a temporary name and renamed when complete; the manifest is written last, and the
 reader believes the manifest only. A repeated or lost task writes the same bytes under the same final names.
@@ -13,16 +14,21 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of the histogram of ids that shards are made of; what the driver gets is bounded by it.
+from .common import forget, stash
+
+#: Cells of the first histogram of ids, and at least of each later one; the driver gets a few cells for each shard beside.
 CELLS = 1 << 16
 SHARD_BYTES = 32 << 20
 FILE_BYTES = 16 << 20
@@ -94,25 +100,76 @@ class _Roller:
         return out
 
 
-def _cell(low: int, width: int) -> Column:
-    """The cell of column id; ids are halved, so that no difference overflows."""
-    return F.expr(f"(shiftright(id, 1) - {low}L) div {width}L")
-
-
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """(half the least id, halved ids in a cell, first cell of each shard), from a histogram of payload bytes over CELLS cells of ids."""
-    low, high = pages.agg(F.min(F.shiftright("id", 1)), F.max(F.shiftright("id", 1))).first()
-    if low is None:
-        return 0, 1, [0]
-    width = (high - low) // CELLS + 1
-    sums = sorted(tuple(r) for r in pages.where("id is not null").groupBy(_cell(low, width).alias("cell")).agg(F.sum(F.octet_length("html") + 400)).collect())
-    starts, held = [0], 0
-    for at, size in sums:
-        if held and held + size > shard_bytes:
-            starts.append(at)
+class Shards(NamedTuple):
+    """starts: first id of each run of shards, sorted; first: its first shard, counted after the null ids' shards; spread: the shards that its ids are dealt over."""
+
+    starts: np.ndarray
+    first: np.ndarray
+    spread: np.ndarray
+    nulls: int
+
+
+def _shards(pages: DataFrame, shard_bytes: int) -> Shards:
+    """Cuts of rows (id, html) into shards, from histograms of payload bytes."""
+    sizes = stash(pages.groupBy("id").agg(F.sum(F.octet_length("html") + 400).alias("size")), "page-sizes")
+    nulls = sizes.where("id is null").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    low, high = sizes.agg(F.min(F.shiftright("id", 1)), F.max(F.shiftright("id", 1))).first()
+    leaves: list[tuple[int, int, bool]] = []  # (first id, bytes, whether it is one id)
+    if low is not None:
+        width = (high - low) // CELLS + 1  # ids are halved at first, so that no difference overflows
+        rows = sizes.where("id is not null").select("id", "size", F.expr(f"(shiftright(id, 1) - {low}L) div {width}L").alias("cell"))
+        spans = {}
+        found = rows.groupBy("cell").agg(F.sum("size")).collect()
+        for cell, size in found:
+            spans[cell] = (2 * (low + cell * width), 2 * width, size)
+        while spans:
+            heavy = {c: x for c, x in spans.items() if x[2] > shard_bytes and x[1] > 1}
+            leaves += [(a, size, width == 1) for c, (a, width, size) in spans.items() if c not in heavy]
+            if not heavy:
+                break
+            table, parts, base = [], {}, 0
+            for c, (a, width, size) in sorted(heavy.items()):
+                step = -(-width // max(2 * -(-size // shard_bytes), CELLS // len(heavy)))
+                table.append((c, a, step, base))
+                parts[base] = (a, step)
+                base += -(-width // step)
+            cuts = rows.sparkSession.createDataFrame(table, "cell long, a long, step long, base long")  # fewer rows than shards
+            rows = rows.join(F.broadcast(cuts), "cell").select("id", "size", F.expr("base + (id - a) div step").alias("cell"))
+            bases, spans = np.array(sorted(parts)), {}
+            for cell, size in rows.groupBy("cell").agg(F.sum("size")).collect():
+                base = int(bases[np.searchsorted(bases, cell, "right") - 1])
+                a, step = parts[base]
+                spans[cell] = (a + (cell - base) * step, step, size)
+    forget(sizes)
+    starts, first, spread, held, at = [], [], [], 0, 0
+    for a, size, single in sorted(leaves):
+        many = -(-size // shard_bytes) if single else 1
+        if not starts or held + size > shard_bytes:
+            at += spread[-1] if spread else 0
+            starts.append(a)
+            first.append(at)
+            spread.append(many)
             held = 0
         held += size
-    return low, width, starts
+        if many > 1:
+            held = shard_bytes
+    return Shards(*(np.array(x, dtype=np.int64) for x in (starts, first, spread)), max(1, -(-int(nulls) // shard_bytes)))
+
+
+def _runs(shards: Shards) -> Callable[[Column], Column]:
+    """A function of an id column: the first shard of the id's run, and how many there are."""
+    sent = SparkSession.getActiveSession().sparkContext.broadcast(shards)  # a few numbers for each shard
+
+    @F.pandas_udf("first long, spread long")
+    def run(ids: pd.Series) -> pd.DataFrame:
+        s, known = sent.value, ids.notna().to_numpy()
+        first, spread = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), s.nulls, dtype=np.int64)
+        if known.any():
+            at = np.maximum(np.searchsorted(s.starts, ids[known].astype("int64").to_numpy(), "right") - 1, 0)
+            first[known], spread[known] = s.nulls + s.first[at], s.spread[at]
+        return pd.DataFrame({"first": first, "spread": spread})
+
+    return run
 
 
 def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -120,21 +177,22 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
 
     The payload is html in UTF-8; null is as empty. Of rows with equal payloads of LEAST_REVISIT bytes or more, that of the smallest
     id (then URL; null ids last) is a response and the others revisit it; rows equal in id, URL and payload are alike. A null
-    URL gives no target header; rows of null ids are in the first shard, without an id header; an empty table gives an empty manifest.
+    URL gives no target header; rows of null ids are in the first shards, without an id header; a very long payload is one record; an empty
+    table gives an empty manifest; other columns aren't read.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    low, width, starts = _shards(rows, shard_bytes)
-    cell = F.coalesce(_cell(low, width), F.lit(-1))
-    bounds = spark.createDataFrame([(i, a - (i == 0), b - 1) for i, (a, b) in enumerate(zip(starts, [*starts[1:], CELLS + 1], strict=True))], "shard long, a long, b long")
-    lookup = F.broadcast(bounds.select(F.explode(F.sequence("a", "b")).alias("cell"), "shard"))  # CELLS rows
+    run_of = _runs(_shards(rows, shard_bytes))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "url")
     narrow = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("id", "url", F.sha2("html", 256).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = narrow.join(first, "digest").where(~order.eqNullSafe(F.col("first")))
     marks = again.select("id", "url", F.lit(None).cast("string").alias("html"), F.col("first.id").alias("to_id"), F.col("first.url").alias("to_url"), "digest", F.lit(0).alias("kind")).distinct()
     wide = rows.select("*", F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("string").alias("to_url"), F.lit(None).cast("string").alias("digest"), F.lit(1).alias("kind"))
-    merged = marks.unionByName(wide).withColumn("cell", cell).join(lookup, "cell").drop("cell")
+    # a mark goes to all shards of its id's run, a row to the one of its URL and payload
+    marks = marks.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.explode(F.expr("sequence(_run.first, _run.first + _run.spread - 1)")))
+    wide = wide.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.col("_run.first") + F.pmod(F.xxhash64("url", "html"), F.col("_run.spread")))
+    merged = marks.drop("_run").unionByName(wide.drop("_run"))
     dealt = merged.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "kind", "digest", F.xxhash64("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +288,5 @@ def read_warc(manifest: DataFrame, base: str, payloads: bool = True) -> DataFram
                     raise ValueError(f"{f} has {seen} records; the manifest says {records}")
                 yield emit(rows)
 
-    return manifest.select("file", "records").repartition(F.col("file")).mapInArrow(run, RECORD)
+    files = max(1, min(manifest.count(), 1 << 15))  # a file of bounded size for each task
+    return manifest.select("file", "records").repartition(files, "file").mapInArrow(run, RECORD)
