@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +22,12 @@ from pyspark.sql import functions as F
 
 #: Characters of a piece at least; so an item may differ in about one of so many characters.
 PIECE = 10
-MOST_ERRORS = 64
 #: Length of the grams that a window is tested for before the distance.
 GRAM = 4
-#: Items of fewer characters are not looked for: they are phrases of any text.
-LEAST_ITEM = 32
-#: Characters of items that are matched in one pass over the documents.
-BLOCK_CHARS = 32 << 20
+#: Items of fewer characters are looked for as they are, as whole words.
+LEAST_INEXACT = 32
+#: Characters of items that are matched in one pass over the documents: a worker's matcher takes about 100 bytes for each.
+BLOCK_CHARS = 4 << 20
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -36,8 +36,8 @@ def normal(text: str | None) -> str:
 
 
 def budget(size: int) -> int:
-    """Edits that an item of size characters may differ by."""
-    return min(max(size // PIECE - 1, 0), MOST_ERRORS)
+    """Edits that an item of size characters may differ by: one for each PIECE, less one; none under LEAST_INEXACT."""
+    return 0 if size < LEAST_INEXACT else size // PIECE - 1
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -51,14 +51,13 @@ class Pattern(NamedTuple):
     item_id: int
     text: str
     masks: dict[str, int]
-    grams: frozenset[str]
 
 
 def pattern(item_id: int, text: str) -> Pattern:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(text):
         masks[c] |= 1 << i
-    return Pattern(item_id, text, dict(masks), frozenset(text[i : i + GRAM] for i in range(len(text) - GRAM + 1)))
+    return Pattern(item_id, text, dict(masks))
 
 
 def best_distance(p: Pattern, text: str) -> tuple[int, int]:
@@ -88,8 +87,10 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.patterns = [pattern(i, t) for i, t in items]
-        often = Counter(t for p in self.patterns for t in p.grams)
-        self.grams = [sorted(p.grams, key=lambda t: (often[t], t)) for p in self.patterns]
+        firsts = [{t[i : i + GRAM]: i for i in range(len(t) - GRAM, -1, -1)} for _, t in items]
+        often = Counter(g for f in firsts for g in f)
+        # of each distinct gram its first place in the item, the rarest grams first
+        self.grams = [np.array([f[g] for g in sorted(f, key=lambda g: (often[g], g))], dtype=np.int32) for f in firsts]
         places = defaultdict(list)
         for n, p in enumerate(self.patterns):
             for at, piece in pieces(p.text):
@@ -128,29 +129,35 @@ class Matcher:
                     continue
                 part = data[a:b]
                 lacking = GRAM * k  # distinct grams that k edits can take away; rare ones come first, so that most windows fail soon
-                for t in self.grams[n]:
-                    if t not in part:
+                for i in self.grams[n]:
+                    if p.text[i : i + GRAM] not in part:
                         lacking -= 1
                         if lacking < 0:
                             break
                 if lacking < 0:
                     continue
-                distance, end = best_distance(p, part)
+                if k:
+                    distance, end = best_distance(p, part)
+                else:  # whole words only
+                    at = f" {data[max(a - 1, 0) : b + 1]} ".find(f" {p.text} ")
+                    if at < 0:
+                        continue
+                    distance, end = 0, max(a - 1, 0) + at + len(p.text) - a
                 if distance <= k and (found is None or distance < found[1]):
                     found = (p.item_id, distance, k, a + end)
             if found:
                 yield found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items' (id, normal text) in blocks of about BLOCK_CHARS characters; null, short and repeated items are left out."""
-    own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= LEAST_ITEM)
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, least_item: int) -> Iterator[list[tuple[int, str]]]:
+    """The items' (id, normal text) in blocks of about BLOCK_CHARS characters; null and repeated items, and those of fewer than least_item characters, are left out."""
+    own = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t") >= least_item)
     total = own.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = -(-int(total) // BLOCK_CHARS)
     for b in range(blocks):
         got = own.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()  # a block's characters at most, about
         items = sorted({(r["id"], normal(r["t"])) for r in got}, key=lambda x: (x[0] is None, x[0], x[1]))
-        yield [x for x in items if len(x[1]) >= LEAST_ITEM]
+        yield [x for x in items if len(x[1]) >= max(least_item, 1)]
 
 
 _matchers: dict[int, Matcher] = {}
@@ -176,18 +183,20 @@ class _Block:
         return self._cast.value
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least_item: int = 1) -> DataFrame:
     """(id_col, item_id, distance, budget, end_at): a row for each item that a row of docs holds within its budget of edits.
 
-    end_at is the end of its first nearest place, in characters of the normal text. A null or empty text holds nothing; null items and those under
-    LEAST_ITEM normal characters aren't looked for; equal texts under several item ids are found under each. Repeated rows of
-    docs give repeated rows; null ids are kept; empty tables give no rows. Other columns are not read.
+    end_at is the end of its first nearest place, in characters of the normal text; of equally near places it is the first. A null or empty
+    text holds nothing; null items, those without a letter or digit and those of fewer than least_item normal characters aren't looked
+    for; items under LEAST_INEXACT characters count as whole words without edits; equal texts under several item ids are found under each.
+    Very long texts are searched whole. Repeated rows of docs give repeated rows; null ids are kept; empty tables give no rows. Other
+    columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"`{id_col}` long, item_id long, distance int, budget int, end_at long"
     names = [id_col, "item_id", "distance", "budget", "end_at"]
     out = docs.sparkSession.createDataFrame([], schema)
-    for n, items in enumerate(item_blocks(benchmark, item_id_col, item_text_col)):
+    for n, items in enumerate(item_blocks(benchmark, item_id_col, item_text_col, least_item)):
         block = _Block(docs.sparkSession, items)
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -202,9 +211,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", least_item: int = 1) -> DataFrame:
     """docs without the rows that hold an item, as contamination() finds them; other rows and all columns stay as they are."""
-    for items in item_blocks(benchmark, item_id_col, item_text_col):
+    for items in item_blocks(benchmark, item_id_col, item_text_col, least_item):
         docs = docs.where(~_holds(_Block(docs.sparkSession, items))(F.col(text_col)))
     return docs
 
