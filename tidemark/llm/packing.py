@@ -1,15 +1,17 @@
 """Best-fit packing with certified bounds.
 
 Documents are dealt into groups of bounded size, and each group is packed by best-fit decreasing. Dual feasible functions bound
-the sequences of each group and of all lengths together from below. As long as there is a gap, the documents of the groups'
-unfilled sequences are exchanged: they go into a pool, which is dealt into fewer, larger groups and packed again, if that saves
-sequences.
+the sequences of each group from below: a group that meets its bound is certified. The documents of the unfilled sequences of the other
+groups are exchanged: they go into a pool, which is dealt into fewer, larger groups and packed again, until a round saves nothing.
+A certificate holds for a group's own documents; as long as all sequences together miss the bound of all lengths, certified groups'
+unfilled sequences are exchanged, too.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from .tokens import encoder
 #: Pieces that one group holds about in the first round; in each later one GROWTH times as many.
 GROUP = 8192
 GROWTH = 4
-ROUNDS = 4
+MOST_GROUP = 1 << 19
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -79,11 +81,11 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacit
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-_ROW = "row long, length long, g long, bin long, offset long, fill long, bins long, bound long"
+_ROW = "row long, length long, g long, bin long, offset long, fill long, bins long, bound long, gap long"
 
 
 def _packed(rows: DataFrame, groups: int, capacity: int, salt: int) -> DataFrame:
-    """Deals (row, length) into groups and packs each; bins and bound are on the first row of a group, else zero."""
+    """Deals (row, length) into groups and packs each; bins and bound are on the first row of a group, else zero; gap is their difference."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["g"]):
@@ -96,53 +98,75 @@ def _packed(rows: DataFrame, groups: int, capacity: int, salt: int) -> DataFrame
                 bins, offset, count = best_fit_decreasing(own, capacity)
                 fill = np.bincount(bins, weights=own, minlength=count).astype(np.int64)[bins]
                 first = (np.arange(b - a) == 0).astype(np.int64)
-                found = (row[a:b], own, g[a:b], bins, offset, fill, first * count, first * lower_bound(own, capacity))
+                bound = lower_bound(own, capacity)
+                found = (row[a:b], own, g[a:b], bins, offset, fill, first * count, first * bound, np.full(b - a, count - bound))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in found], names=_ROW.replace(" long", "").split(", "))
 
     dealt = rows.select("row", "length", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(groups)).alias("g"))
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, _ROW)
 
 
-def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """(row, sequence_id, offset) for items (row, length): row is a distinct long, length from 1 to capacity.
+class Packed(NamedTuple):
+    """rows: (row, sequence_id, offset); used: the sequences; bound: what any packing needs at least."""
 
-    The rounds end when all sequences together meet the bound of all lengths, or when a round saves none.
+    rows: DataFrame
+    used: int
+    bound: int
+
+
+def pack(items: DataFrame, capacity: int) -> Packed:
+    """Sequences for items (row, length): row is a distinct long, length from 1 to capacity. Equal lengths go by row.
+
+    The rounds end when all sequences together meet the bound of all lengths, or when a round of all that is unfilled saves none.
     """
     lengths = items.groupBy("length").count().toPandas()  # capacity rows at most
-    count, needed = int(lengths["count"].sum()), lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
-    done, full, pool, before = [], 0, items, None
-    for turn in range(ROUNDS):
-        groups = max(1, -(-count // (GROUP * GROWTH**turn)))
+    left, needed = int(lengths["count"].sum()), lower_bound(lengths["length"].to_numpy(), capacity, lengths["count"].to_numpy())
+    placed = ("row", "length", "sequence_id", "offset")
+    done: list[DataFrame] = []
+    parked: list[tuple[DataFrame, int]] = []  # certified groups' unfilled sequences, and how many
+    pool, full, turn, before = items, 0, 0, None
+    while True:
+        groups = max(1, -(-left // min(GROUP * GROWTH**turn, MOST_GROUP)))
         now = stash(_packed(pool, groups, capacity, turn), "packed")
-        used, bound = (int(x) for x in now.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("bound"), F.lit(0))).first())
-        named = now.withColumn("sequence_id", F.lit(turn << 60) + F.shiftleft("g", 24) + F.col("bin"))
-        if before is not None and used >= before[1]:  # nothing saved: what was there stays
-            done.append(before[0])
-            break
-        if full + used <= needed or groups == 1 and used == bound or turn == ROUNDS - 1:
-            done.append(named)
-            break
-        # a group may meet its own bound and still have room that another one's documents would fill
-        loose = named.where(F.col("fill") < capacity)
-        done.append(named.where(F.col("fill") == capacity))
-        count, left = loose.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if not count:
+        now = now.withColumn("sequence_id", F.lit(turn).cast("long") * (1 << 56) + F.shiftleft("g", 28) + F.col("bin"))
+        used = int(now.agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0])
+        stalled = before is not None and used >= before[1]  # nothing saved: what was there stays
+        if stalled:
+            open_rows, certified = before[0], None
+        else:
+            done.append(now.where(F.col("fill") == capacity).select(*placed))
+            open_rows, certified = now.where((F.col("fill") < capacity) & (F.col("gap") > 0)).select(*placed), now.where((F.col("fill") < capacity) & (F.col("gap") == 0)).select(*placed)
+            closed, sure = (x.agg(F.count_distinct("sequence_id")).first()[0] for x in (done[-1], certified))
+            full += closed
+            if sure:
+                parked.append((certified, sure))
+            before = (open_rows, used - closed - sure)
+        if full + before[1] + sum(n for _, n in parked) <= needed:
             break
-        full, before, pool = full + used - left, (loose, left), loose.select("row", "length")
-    out = done[0].select("row", "sequence_id", "offset")
-    for more in done[1:]:
-        out = out.unionByName(more.select("row", "sequence_id", "offset"))
-    return out
+        if stalled or not before[1] or groups == 1:
+            if not parked:
+                break
+            for rows, n in parked:  # no gap is left to close by itself; only the bound of all lengths says that there is room
+                before = (before[0].unionByName(rows), before[1] + n)
+            parked = []
+        pool, turn = before[0].select("row", "length"), turn + 1
+        left = pool.count()
+    out = before[0]
+    for more in [*done, *(rows for rows, _ in parked)]:
+        out = out.unionByName(more)
+    return Packed(out.select("row", "sequence_id", "offset"), full + before[1] + sum(n for _, n in parked), needed)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """A row for each piece of each row of docs: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+    """A row for each piece of each row of docs: id_col, piece, start, length, ids_crc32, sequence_id, offset, sequences, least_sequences.
 
     A document is its ids and then end_id; only a longer one than capacity is cut, into pieces of capacity and a last one that may be
-    shorter. A null or empty text is end_id alone. A null id is kept; rows of equal ids are packed each on its own; an empty
-    table gives no rows. Other columns are not read.
+    shorter; a very long text gives many pieces. A null or empty text is end_id alone. A null id is kept; rows of equal ids are packed
+    each on its own; pieces of equal lengths go in the order of rows; an empty table gives no rows. sequences and least_sequences
+    are alike in all rows: how many there are, and how many any packing needs at least. Other columns are not read.
     """
     cut = pieces(docs, vocabulary, id_col, text_col, capacity, end_id)
     cut = stash(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = pack(cut.select("row", "length"), capacity)
-    return cut.join(placed, "row").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    counts = F.lit(placed.used).cast("long").alias("sequences"), F.lit(placed.bound).cast("long").alias("least_sequences")
+    return cut.join(placed.rows, "row").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *counts)
