@@ -48,7 +48,7 @@ def contamination_rows():
                 item[rng.randrange(len(item))] = rng.choice("abcxyz")
             text = text[:100] + " " + "".join(item).title() + "!! " + text[100:]
         docs.append((i if i != 4 else None, text, "clash"))
-    return docs + [(100, None, "clash"), (101, "", "clash"), (102, items[0], "clash"), (102, items[0], "clash")], [*enumerate(items), (50, items[0]), (51, None), (52, "too short"), (None, items[1])]
+    return docs + [(100, None, "clash"), (101, "", "clash"), (102, items[0], "clash"), (102, items[0], "clash"), (103, "it is Too, short!", "clash"), (104, "too shorty", "clash"), (105, "too short", "clash")], [*enumerate(items), (50, items[0]), (51, None), (52, "too short"), (None, items[1])]
 
 
 def test_contamination_against_brute_force(spark):
@@ -58,9 +58,10 @@ def test_contamination_against_brute_force(spark):
     for i, t, _ in docs:
         for k, item in items:
             p = decontam.normal(item)
-            if len(p) >= decontam.LEAST_ITEM and (d := edit_distance_in(p, decontam.normal(t))) <= decontam.budget(len(p)):
+            short = len(p) < decontam.LEAST_INEXACT
+            if p and (d := edit_distance_in(p, decontam.normal(t))) <= decontam.budget(len(p)) and (not short or f" {p} " in f" {decontam.normal(t)} "):
                 want.append((i, k, d))
-    assert len(want) > 15
+    assert len(want) > 15 and any(k == 52 for _, k, _ in want)
     assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in got), key=str) == sorted(want, key=str)
 
 
@@ -72,6 +73,8 @@ def test_decontaminate(spark, monkeypatch):
         monkeypatch.setattr(decontam, "BLOCK_CHARS", size)
         out = decontam.decontaminate(d, b).collect()
         assert sorted(map(str, (r["doc_id"] for r in out))) == sorted(str(i) for i, _, _ in docs if i not in bad) and set(out[0].asDict()) == {"doc_id", "text", "item_id"}
+    kept = {r["doc_id"] for r in decontam.decontaminate(d, b, least_item=32).collect()}
+    assert {103, 104, 105} <= kept and 102 not in kept
     assert decontam.contamination(d.limit(0), b).count() == 0 and decontam.contamination(d, b.limit(0)).count() == 0 and decontam.decontaminate(d, b.limit(0)).count() == len(docs)
 
 
@@ -251,6 +254,7 @@ def brute_links(rows, least):
 def test_embeddings_against_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(ann, "SHARD", shard)
     monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "STREAM", 64 if block > 100 else 2)
     rows = vectors()
     got = ann.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string")).collect()
     assert sorted(map(tuple, got), key=str) == brute_links(rows, 0.98)

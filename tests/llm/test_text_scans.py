@@ -144,8 +144,60 @@ def test_one_language_or_none(spark, langs):
     assert langid.language_id(table(spark, [])).count() == 0
 
 
-def test_unknown_language_goes(spark):
-    texts, langs = corpus(40)
-    kept = langid.drop_unknown(table(spark, [*texts, None, "12", ""], [*langs, "en", "en", "en"])).collect()
-    assert len(kept) == 40 and set(kept[0].asDict()) == {"doc_id", "text", "n_base", "spans", "lang"}
-    assert langid.drop_unknown(table(spark, ["some words", "1"], [None, None])).count() == 1
+def test_stage_takes_the_prediction(spark):
+    texts, langs = corpus(160)
+    cyrillic = "Все люди рождаются свободными и равными в своем достоинстве и правах и наделены разумом"
+    odd = [None, "12", "", cyrillic, "Все", texts[0], texts[1]]
+    kept = langid.keep_identified(table(spark, [*texts, *odd], [*langs, "en", "en", "en", None, None, None, "xx"])).collect()
+    assert set(kept[0].asDict()) == {"doc_id", "text", "n_base", "spans", "lang"}
+    got = {r["doc_id"]: r["lang"] for r in kept}
+    assert len(kept) == 163 and 163 not in got and got[164] is not None and got[165] == langs[0] and got[166] == "xx"
+    assert langid.keep_identified(table(spark, ["some words", "1"], [None, None])).select("lang").collect() == [(None,)]
+
+
+SENTENCES = {
+    "en": ["All human beings are born free and equal in dignity and rights.", "The quick brown fox jumps over the lazy dog near the river bank.", "She went to the market yesterday to buy some bread and cheese.", "We should have known that the weather would turn bad by evening.", "There is nothing more that we can do about this question today."],
+    "de": ["Alle Menschen sind frei und gleich an Würde und Rechten geboren.", "Der schnelle braune Fuchs springt über den faulen Hund am Fluss.", "Sie ging gestern auf den Markt, um etwas Brot und Käse zu kaufen.", "Wir hätten wissen müssen, dass das Wetter am Abend schlecht wird.", "Es gibt heute nichts mehr, was wir in dieser Frage tun können."],
+    "nl": ["Alle mensen worden vrij en gelijk in waardigheid en rechten geboren.", "De snelle bruine vos springt over de luie hond bij de rivier.", "Zij ging gisteren naar de markt om wat brood en kaas te kopen.", "We hadden moeten weten dat het weer tegen de avond slecht zou worden.", "Er is vandaag niets meer dat we aan deze vraag kunnen doen."],
+    "fr": ["Tous les êtres humains naissent libres et égaux en dignité et en droits.", "Le rapide renard brun saute par-dessus le chien paresseux près de la rivière.", "Elle est allée hier au marché pour acheter du pain et du fromage.", "Nous aurions dû savoir que le temps deviendrait mauvais dans la soirée.", "Il n'y a plus rien que nous puissions faire aujourd'hui à ce sujet."],
+    "es": ["Todos los seres humanos nacen libres e iguales en dignidad y derechos.", "El rápido zorro marrón salta sobre el perro perezoso cerca del río.", "Ella fue ayer al mercado para comprar un poco de pan y queso.", "Deberíamos haber sabido que el tiempo empeoraría por la tarde.", "No hay nada más que podamos hacer hoy sobre esta cuestión."],
+}
+
+
+def plain_prediction(model, text):
+    """Family, then language, by plain one-versus-one votes, pair by pair."""
+
+    def vote(votes):
+        if votes.w is None:
+            return votes.classes[0]
+        x, won, sums = langid.features(text).astype(float), {c: 0 for c in votes.classes}, {c: 0.0 for c in votes.classes}
+        k = 0
+        for i, a in enumerate(votes.classes):
+            for b in votes.classes[i + 1 :]:
+                margin = sum(float(w) * float(v) for w, v in zip(votes.w[:-1, k], x)) + float(votes.w[-1, k])
+                won[a if margin >= 0 else b] += 1
+                sums[a] += np.tanh(margin)
+                sums[b] -= np.tanh(margin)
+                k += 1
+        return max(votes.classes, key=lambda c: (won[c], sums[c]))
+
+    return vote(model.within[vote(model.families)])
+
+
+def test_languages_of_real_sentences():
+    """Each sentence is held out once; predictions are those of plain votes, and most are right, closely related languages among them."""
+    right = 0
+    for k in range(5):
+        train = [(s, c) for c, some in SENTENCES.items() for i, s in enumerate(some) if i != k]
+        model = langid.Model([s for s, _ in train], [c for _, c in train])
+        held = [(some[k], c) for c, some in SENTENCES.items()]
+        got, scores = model.predict([s for s, _ in held])
+        assert got == [plain_prediction(model, s) for s, _ in held] and all(0 <= x <= 1 for x in scores)
+        right += sum(g == c for g, (_, c) in zip(got, held))
+    assert right >= 20
+
+
+def test_every_label_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 40)
+    texts, langs = [f"w{i} sentence number {i}" for i in range(600)], [f"l{i % 300}" for i in range(600)]
+    assert {c for _, c in langid.training_rows(table(spark, texts, langs), "doc_id", "text", "lang", 400)} == set(langs[i] for i in range(600) if i != 3 and __import__("zlib").crc32(str(i).encode()) % 4 != 2)

@@ -1,8 +1,9 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines within it.
 
 Features are hashed byte n-grams of whole texts in lower case, as square roots of their shares, over their length. Models are
-fitted on the driver from a bounded sample of labelled rows (for the MOST_LANGUAGES most frequent labels PER_LANGUAGE texts each, TRAIN_ROWS
-in all, of TRAIN_CHARS characters at most); prediction reads every text whole.
+fitted on the driver from a bounded sample of labelled rows: PER_LANGUAGE texts of each label, fewer where labels are so many that this
+would be over TRAIN_ROWS in all, and the first TRAIN_CHARS characters of each. Every label is learnt, if only from one text. Prediction
+reads every text whole.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, free_name
 
 BUCKETS = 4096
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
 TRAIN_ROWS = 16_000
 TRAIN_CHARS = 10_000
 EPOCHS = 25
 UNKNOWN = "und"
+#: The pipeline's stage rejects a text of LEAST_LETTERS letters or more whose language has a lower score.
+LEAST_SCORE = 0.45
+LEAST_LETTERS = 32
 
 #: Families of related languages by ISO 639-1 code. A label that isn't here is a family of its own.
 FAMILIES = {
@@ -101,7 +104,7 @@ class Votes:
         self.w = np.array(w, dtype=np.float32).T if w else None
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class number, confidence from 0 to 1) of each row: most votes, then the largest sum of margins."""
+        """(class number, confidence from 0 to 1) of each row: most votes, then the largest sum of margins, then the first class."""
         if self.w is None:
             return np.zeros(len(x), dtype=np.int64), np.ones(len(x))
         margin = x @ self.w[:-1] + self.w[-1]
@@ -146,9 +149,9 @@ class Model:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """At most per_language (text, lang) of each of the MOST_LANGUAGES most frequent labels, chosen by a hash of the id."""
+    """At most per_language (text, lang) of each label, chosen by a hash of the id; fewer where all labels would give over TRAIN_ROWS."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where((crc_mod("id", 4) != 2) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
     if not counts:
         return []
     per_language = max(1, min(per_language, TRAIN_ROWS // len(counts)))
@@ -167,10 +170,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     held_out rows (crc32 of the id as text has remainder 2 by 4) are never learnt from; a null id isn't held out and isn't learnt from.
     lang_pred is UNKNOWN (score 0) if the text is null or has no letter, or if there is nothing to learn from; with one language learnt it is
-    that one. Repeated rows are alike; an empty table gives no rows; the label and other columns aren't inputs of a prediction.
+    that one. Equal votes go to the larger sum of margins, then to the first label. Very long texts are read whole, a piece at a time.
+    Repeated rows are alike; an empty table gives no rows; the label and other columns aren't inputs of a prediction.
     """
     rows = training_rows(docs, id_col, text_col, lang_col, per_language)
-    model = docs.sparkSession.sparkContext.broadcast(Model([t for t, _ in rows], [c for _, c in rows]))  # bounded: MOST_LANGUAGES classes of BUCKETS weights
+    model = docs.sparkSession.sparkContext.broadcast(Model([t for t, _ in rows], [c for _, c in rows]))  # BUCKETS weights for each pair of families, and of labels within one
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,19 +191,30 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held"), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` long, held_out boolean, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """docs without the rows whose text has no language, as language_id() tells (null, or no letter); all columns stay as they are."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, least_score: float = LEAST_SCORE, least_letters: int = LEAST_LETTERS) -> DataFrame:
+    """docs without the rows whose text has no language that could be learnt; rows without a label get the predicted one.
+
+    Rejected are texts that language_id() calls UNKNOWN (null, or no letter), and those of least_letters letters or more whose score is under
+    least_score: a shorter text has too little evidence against it. Labels that rows have, other columns and repeated rows stay as
+    they are. Where there is nothing to learn from, every text with a letter stays, its label null as it was.
+    """
     rows = training_rows(docs, id_col, text_col, lang_col, per_language)
     model = docs.sparkSession.sparkContext.broadcast(Model([t for t, _ in rows], [c for _, c in rows]))
 
-    @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        out = np.zeros(len(text), dtype=bool)
+    @F.pandas_udf("string")
+    def found(text: pd.Series) -> pd.Series:
+        out: list[str | None] = [None] * len(text)
         able = [i for i, t in enumerate(text) if has_letter(t)]
         for at in range(0, len(able), 512):
             part = able[at : at + 512]
-            langs, _ = model.value.predict([text.iloc[i] for i in part])
-            out[part] = True if model.value.families is None else [c != UNKNOWN for c in langs]
-        return pd.Series(out)
-
-    return docs.where(known(F.col(text_col)))
+            texts = [text.iloc[i] for i in part]
+            for i, t, lang, score in zip(part, texts, *model.value.predict(texts), strict=True):
+                if model.value.families is None or score >= least_score or sum(map(str.isalpha, t)) < least_letters:
+                    out[i] = lang
+        return pd.Series(out, dtype=object)
+
+    name = free_name(docs, "_lang")
+    kept = docs.withColumn(name, found(F.col(text_col))).where(F.col(name).isNotNull())
+    kind = docs.schema[lang_col].dataType
+    filled = F.coalesce(F.col(lang_col), F.nullif(F.col(name), F.lit(UNKNOWN)).cast(kind))
+    return kept.select(*[filled.alias(lang_col) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
