@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare, stash
 from tidemark.llm.decontam import decontaminate
-from tidemark.llm.langid import drop_unknown
+from tidemark.llm.langid import keep_identified
 from tidemark.llm.neardup import drop_near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import redact
@@ -24,7 +24,7 @@ END_ID = 1
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without any letter go."""
     prepare(spark)
-    return drop_unknown(docs)
+    return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
