@@ -215,6 +215,30 @@ def test_no_pages(spark):
     assert manifest.count() == 0 and warc.read_warc(manifest, base).count() == 0
 
 
+def shard_of(manifest):
+    return [(r["shard"], r["records"]) for r in manifest.orderBy("shard", "part").collect()]
+
+
+@pytest.mark.parametrize("far", [2**60, -(2**63), 2**63 - 1])
+def test_a_far_id_leaves_shards_as_they_are(spark, far):
+    body = "".join(random.Random(1).choice("abcdefgh") for _ in range(10000))
+    pages = [(i, f"http://a/{i}", f"{i} {body}") for i in range(300)]
+    schema = "page_id long, url string, html string"
+    many = [len(shard_of(warc.write_warc(spark.createDataFrame(rows, schema), fresh_path(spark, "warc-far"), shard_bytes=300_000))) for rows in (pages, [*pages, (far, "http://far/", "x")])]
+    assert many[0] >= 10 and abs(many[1] - many[0]) <= 1
+
+
+def test_null_and_repeated_ids_are_dealt(spark):
+    body = "".join(random.Random(1).choice("abcdefgh") for _ in range(10000))
+    rows = [(None, f"http://n/{i}", f"{i} {body}") for i in range(100)] + [(7, f"http://s/{i}", f"s{i} {body}") for i in range(100)] + [(7, "http://s/0", f"s0 {body}"), (8, "http://s/0", f"s0 {body}")]
+    base = fresh_path(spark, "warc-null")
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), base, shard_bytes=200_000)
+    assert len(shard_of(manifest)) >= 8 and max(n for _, n in shard_of(manifest)) < 60
+    got = warc.read_warc(manifest, base).collect()
+    assert sorted(((r["id"], r["url"], r["payload_digest"]) for r in got), key=str) == sorted(((i, u, hashlib.sha256(h.encode()).hexdigest()) for i, u, h in rows), key=str)
+    assert [(r["id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"] == [(8, 7)]
+
+
 def test_broken_records_are_found():
     record = warc.make_record(1, "http://a/", b"payload", None)
     assert warc.parse_record(record)[1] == b"payload"

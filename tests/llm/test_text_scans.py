@@ -39,6 +39,34 @@ def test_base_phrases(spark):
     assert out[7]["labels"] == "apache-2.0" and out[8]["labels"] == "mit" and "gpl-gnu" in out[14]["labels"] and out[2]["score"] == 1.0 and out[13]["score"] == 0.0
 
 
+def test_labels_and_scores_against_brute_force(spark):
+    """Every template whole, cut, doubled and spoilt in one word; labels and scores as looking for each key phrase at each word gives them."""
+    import math
+    import random
+
+    rng, texts = random.Random(4), []
+    for _, text, key in licenses.TEMPLATES:
+        words = text.split()
+        at = rng.randrange(len(words))
+        texts += [text, "x " + text + " y " + text, " ".join(words[: len(words) // 2]), key, " ".join(key.split()[1:]), " ".join(words[:at] + ["spoilt"] + words[at + 1 :])]
+    texts += LICENCES
+    out = {r["doc_id"]: r for r in licenses.license_scan(table(spark, texts)).collect()}
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in s for s in split) + 1)) + 1
+    known = [(label, text.split(), key.split()) for label, text, key in licenses.TEMPLATES] + [(label, p.split(), p.split()) for p, label in licenses.PHRASES]
+    logs = {w: idf(w) for _, words, _ in known for w in words}
+    for i, words in enumerate(split):
+        labels, score = set(), 0.0
+        for label, text, key in known:
+            ahead = next(k for k in range(len(text)) if text[k : k + len(key)] == key)
+            for k in range(len(words)):
+                if words[k : k + len(key)] == key:
+                    labels.add(label)
+                    score = max(score, sum(logs[w] for j, w in enumerate(text) if 0 <= k - ahead + j < len(words) and words[k - ahead + j] == w) / sum(logs[w] for w in text))
+        r = out[i if i != 3 else None]
+        assert r["labels"] == ",".join(sorted(labels)) and abs(r["score"] - score) < 1e-9, texts[i]
+
+
 def test_licences_of_nothing(spark):
     assert licenses.license_scan(table(spark, [])).count() == 0
 

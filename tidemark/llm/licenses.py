@@ -1,9 +1,10 @@
 """Licence scans with a positional rare-token index.
 
 The index has the words of every licence template and base phrase with their positions. Document frequencies of those words, over
-the whole corpus, say which word of an entry is its rarest; the entry is posted under that word alone. A file's licence words are
-looked up from the rarest on, each posting is laid at the word's places by relative position, and an entry counts only where its
-mandatory key phrase stands there. An entry has its rarest word wherever it occurs, so no place is lost.
+the whole corpus, say which words of an entry's mandatory key phrase are rarest; the entry is posted under up to POSTED of them, each with
+its position. A file's licence words are looked up from the rarest on. Each posting turns a word's places into places where the entry
+would stand; these are intersected over the entry's posted words, and what is left counts only where the whole key phrase
+stands. An entry has all its posted words wherever its key phrase occurs, so no place is lost.
 """
 
 from __future__ import annotations
@@ -23,24 +24,30 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Own templates: label, text, and the mandatory key phrase within the text.
+#: Words of its key phrase that an entry is posted under, at most.
+POSTED = 3
+
+#: Fixed values, own templates: label, a section of the licence or of its usual notice as words, and the mandatory key phrase within the section.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache license version 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "unless required by applicable law or agreed to in writing software"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("mit", "released under the mit license", "the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
-    ("gpl-gnu", "this work is licensed under the gnu general public license version", "gnu general public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission is hereby granted free of charge to any person obtaining"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistribution and use in source and binary forms"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "gnu lesser general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
+    ("gpl-gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
+    ("gpl-gnu", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "hope that it will be useful but without any warranty"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit", "creative commons attribution 4 0"),
     ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
-    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license which accompanies this distribution", "eclipse public license"),
 )
 
 
@@ -66,39 +73,56 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Entries under the rarest word of their key phrase, with its place in the phrase."""
+    """Entries under the rarest words of their key phrases, with the words' places in the phrase."""
 
     def __init__(self, frequency: dict[bytes, int], documents: int):
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for e in entries() for w in e.words}
-        self.postings: dict[bytes, list[tuple[Entry, int]]] = defaultdict(list)
-        for e in entries():
-            at = max(range(len(e.key_words)), key=lambda i: (self.idf[e.key_words[i]], -i))
-            self.postings[e.key_words[at]].append((e, at))
+        self.entries = entries()
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1 for e in self.entries for w in e.words}
+        self.total = [sum(self.idf[w] for w in e.words) for e in self.entries]
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # word: (entry, place in its key phrase)
+        self.needs: list[int] = []
+        for n, e in enumerate(self.entries):
+            rarest = sorted(range(len(e.key_words)), key=lambda i: (-self.idf[e.key_words[i]], i))[:POSTED]
+            self.needs.append(len(rarest))
+            for i in rarest:
+                self.postings[e.key_words[i]].append((n, i))
         self.rare = frozenset(self.postings)
 
-    def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
-        """(starts of base phrases, base labels, all labels, best score) of a file's words."""
-        starts, base, labels, score = [], set(), set(), 0.0
+    def places(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(entry, places of its key phrase) for each entry that the words hold."""
         if self.rare.isdisjoint(words):
-            return starts, base, labels, score
-        places = defaultdict(list)
+            return
+        where = defaultdict(list)
         for i, w in enumerate(words):
             if w in self.rare:
-                places[w].append(i)
-        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
-            for e, at in self.postings[w]:
-                size, total = len(e.key_words), sum(self.idf[x] for x in e.words)
-                for p in places[w]:
-                    key = p - at
-                    if key < 0 or tuple(words[key : key + size]) != e.key_words:
-                        continue
-                    if e.base:
-                        starts.append(key)
-                        base.add(e.label)
-                    first = key - e.key
-                    alike = sum(self.idf[x] for i, x in enumerate(e.words) if 0 <= first + i < len(words) and words[first + i] == x)
-                    score = max(score, alike / total)
-                    labels.add(e.label)
+                where[w].append(i)
+        starts: dict[int, set[int]] = {}
+        met: dict[int, int] = defaultdict(int)
+        for w in sorted(where, key=lambda w: (-self.idf[w], w)):
+            for n, i in self.postings[w]:
+                here = {p - i for p in where[w] if p >= i}
+                starts[n] = starts[n] & here if n in starts else here
+                met[n] += 1
+        for n, found in starts.items():
+            key = self.entries[n].key_words
+            if met[n] == self.needs[n] and (sure := [k for k in sorted(found) if tuple(words[k : k + len(key)]) == key]):
+                yield n, sure
+
+    def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
+        """(starts of base phrases, base labels, all labels, best score) of a file's words."""
+        starts, base, labels, score = [], set(), set(), 0.0
+        for n, places in self.places(words):
+            e = self.entries[n]
+            labels.add(e.label)
+            if e.base:
+                starts += places
+                base.add(e.label)
+                score = 1.0
+                continue
+            for key in places:
+                first = key - e.key
+                alike = sum(self.idf[x] for i, x in enumerate(e.words) if 0 <= first + i < len(words) and words[first + i] == x)
+                score = max(score, alike / self.total[n])
         return starts, base, labels, min(score, 1.0)
 
 
@@ -124,9 +148,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places of base phrases; first_word and last_word are the smallest and largest of their starts, in words from 0, null
-    without any. Labels are distinct, sorted and comma-joined, empty strings without any. score is the best entry's share, by
-    inverse document frequency, of words found in place: 0 without any entry, 1 for a whole one. A null text is as an empty one. Null and
-    repeated ids are kept; an empty table gives no rows; other columns are not read.
+    without any. Labels are distinct, sorted and comma-joined, empty strings without any; an entry's label is there where its key phrase
+    stands. score is the best entry's share, by inverse document frequency, of words found in place: 0 without any entry, 1 for a
+    whole one. A null text is as an empty one; very long texts are read whole. Null and repeated ids are kept; an empty table gives no rows;
+    other columns are not read.
     """
     index = docs.sparkSession.sparkContext.broadcast(Index(*_frequencies(docs, text_col)))  # bounded by the templates
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
