@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stash, whole_groups
+from .common import SALTS, forget, group_value, stash, whole_groups
 from .components import components
 
 BITS = 64
@@ -125,8 +125,8 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     refs = pivots()
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     keyed = nodes.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
-    crowded = keyed.groupBy("t", "key").count().where(F.col("count") > TILE).select("t", "key", F.ceil(F.col("count") / TILE).alias("tiles"))
-    tiled = keyed.join(crowded, ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    counted = group_value(keyed, ["t", "key"], "fp", F.count, F.sum, "rows").where("rows > 1")  # by salts: no key is hot
+    tiled = counted.withColumn("tiles", F.ceil(F.col("rows") / TILE))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
     dealt = tiled.select("fp", "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("fp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "t", "key")
@@ -145,12 +145,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id reachable over links of at most max_bits differing bits, its own included; rows of equal
     fingerprints are linked. Null and empty texts have fingerprint zero and are linked like others. A null id takes no part in
-    the smallest id (a component of null ids only has a null one); repeated ids give repeated rows; an empty table gives no rows.
-    Other columns are not read.
+    the smallest id (a component of null ids only has a null one); repeated ids give repeated rows; very long texts are read whole, a
+    bit set in just half the hashes is 0; an empty table gives no rows. Other columns, whatever their names, are not read.
     """
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
     rooted = nodes.join(components(fingerprint_links(nodes, max_bits)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stash(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "fingerprint-components")
     forget(nodes)
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # a fingerprint's rows, such as all empty texts, are dealt over salts where they meet it
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    spread = salted.select("fp", "salt").distinct().join(named, "fp")
+    return salted.join(spread, ["fp", "salt"]).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
