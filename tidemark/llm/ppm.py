@@ -18,8 +18,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, stash, whole_groups
@@ -29,8 +28,9 @@ ORDER = 5
 PART = 400_000
 #: Rows of a run: its distinct words and codes are in memory together, its texts aren't.
 RUN = 8_192
-#: Words that a task counts before it passes the counts on.
+#: Words, and codes, that a task counts before it passes the counts on.
 HELD = 500_000
+HELD_CODES = 1_500_000
 END = 0xFF  # no byte of UTF-8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _END_WORD = b"\n"
@@ -45,12 +45,6 @@ def words_of(data: bytes) -> list[bytes]:
     return [*_WORD.findall(data), _END_WORD]
 
 
-def word_key(word: bytes) -> int:
-    """64-bit key of a word, as a signed long."""
-    x = xxhash.xxh64_intdigest(word, 11)
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of ORDER bytes of context and the symbol, first position of each text); each text ends with END."""
     pad = bytes(ORDER)
@@ -182,16 +176,18 @@ class Trie:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(kind, run, key, n): by run the words (kind 0) and byte codes (kind 1), and how often they are in training texts."""
+    """(kind, run, key, word, n): by run the words (kind 0) and byte codes (kind 1, by key), and how often they are in training texts. A run may have one several times."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, codes = None, Counter(), []
 
-        def out(kind: int, of: int | None, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), type=pa.int32()), pa.array([of] * len(keys), type=pa.int64()), pa.array(keys, type=pa.int64()), pa.array(n, type=pa.int64())], names=["kind", "run", "key", "n"])
+        def out(kind: int, of: int | None, keys: np.ndarray | list[bytes], n: np.ndarray | list[int]) -> pa.RecordBatch:
+            none = [None] * len(keys)
+            columns = [pa.array([kind] * len(keys), type=pa.int32()), pa.array([of] * len(keys), type=pa.int64()), pa.array(keys if kind else none, type=pa.int64()), pa.array(none if kind else keys, type=pa.binary()), pa.array(n, type=pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "run", "key", "word", "n"])
 
         def words_out() -> pa.RecordBatch:
-            return out(0, now, np.array([word_key(w) for w in words], dtype=np.int64), np.array(list(words.values()), dtype=np.int64))
+            return out(0, now, list(words), list(words.values()))
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
@@ -200,8 +196,12 @@ def _counted(rows: DataFrame) -> DataFrame:
         def gather(texts: list[bytes], learnt: bool) -> None:
             keys, n = np.unique(grams(texts)[0], return_counts=True)
             codes.append((keys, n if learnt else np.zeros(len(keys), dtype=np.int64)))
-            if sum(len(c) for c, _ in codes) > 1_500_000:
+
+        def many() -> bool:
+            """Whether the codes must be passed on: merging them first is only worth while where they are alike."""
+            if sum(len(c) for c, _ in codes) > HELD_CODES:
                 codes[:] = [merged()]
+            return len(codes) == 1 and len(codes[0][0]) > HELD_CODES // 2
 
         for b in batches:
             texts = b.column(2).to_pylist()
@@ -229,18 +229,22 @@ def _counted(rows: DataFrame) -> DataFrame:
                     words.update(own)
                 some = waiting[not held[i]]
                 some.append(data)
-                if len(some) >= 512:
+                if len(some) >= 512 or sum(map(len, some[-8:])) > 1 << 23:
                     gather(some, not held[i])
                     some.clear()
+                    if many():
+                        yield out(1, now, *codes.pop())
             for learnt, some in waiting.items():
                 if some:
                     gather(some, learnt)
+            if many():
+                yield out(1, now, *codes.pop())
         if words:
             yield words_out()
         if codes:
             yield out(1, now, *merged())
 
-    return rows.select("run", "held", "t").mapInArrow(run, "kind int, run long, key long, n long")
+    return rows.select("run", "held", "t").mapInArrow(run, "kind int, run long, key long, word binary, n long")
 
 
 def _shortest(codes: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -281,8 +285,8 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held_out rows (crc32 of the id as text has remainder 2 by 7) aren't learnt from; a null id is not held out. Tokens are words of the text
     with A-Z in lower case, and an end. base_score adds log10((c + 1) / (N + V + 1)) over them, score is the model's log10 probability of
     the lowered text's bytes and end. A null text is as an empty one: one token. Without any training text every byte has one chance in
-    256, and N and V are 0. Repeated rows are scored alike; an empty table gives no rows; other columns are not read. docs must
-    read files, or is written to the shared folder first.
+    256, and N and V are 0. Very long texts are read whole, and so are very long words. Repeated rows are scored alike; an empty table
+    gives no rows; other columns are not read. docs must read files, or is written to the shared folder first.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -298,14 +302,19 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     codes = stash(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "codes")
     chances = stash(_probabilities(codes), "probabilities")
     words = counted.where("kind = 0")
-    totals = stash(words.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
+    totals = stash(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
     tokens, distinct = (int(x) for x in totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     floor = float(np.log10(tokens + distinct + 1))
 
     # a key has a row for each run that has the word or code, never one for each document
-    known = words.join(totals, "key").select("run", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("c"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("string").alias("t"))
-    chance = counted.where("kind = 1").join(chances, "key").select("run", F.lit(1).alias("kind"), "key", F.col("p").cast("double").alias("c"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("string").alias("t"))
-    texts = rows.select("run", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("c"), "id", "held", "t")
+    none = {"id": F.lit(None).cast("long"), "held": F.lit(None).cast("boolean"), "t": F.lit(None).cast("string"), "key": F.lit(None).cast("long"), "word": F.lit(None).cast("binary"), "c": F.lit(None).cast("double")}
+
+    def part(df: DataFrame, kind: int, **own: Column) -> DataFrame:
+        return df.select("run", F.lit(kind).alias("kind"), *[own.get(c, none[c]).alias(c) for c in ("key", "word", "c", "id", "held", "t")])
+
+    known = part(words.join(totals, "word"), 0, word=F.col("word"), c=F.col("c").cast("double"))
+    chance = part(counted.where("kind = 1").join(chances, "key"), 1, key=F.col("key"), c=F.col("p").cast("double"))
+    texts = part(rows, 2, id=F.col("id"), held=F.col("held"), t=F.col("t"))
     dealt = known.unionByName(chance).unionByName(texts).repartition("run").sortWithinPartitions("run", "kind")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -321,34 +330,28 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         now, logs, model, gathered = runs[x], _Logs(), None, []
                     part = b.slice(x, y - x)
                     if kinds[x] == 1:
-                        gathered.append((part.column(2).to_numpy(), part.column(3).to_numpy().astype(np.float32)))
+                        gathered.append((part.column(2).to_numpy(), part.column(4).to_numpy().astype(np.float32)))
                         continue
                     if kinds[x] == 2 and model is None:
                         model, gathered = Lookup(*(np.concatenate(c) for c in zip(*gathered, strict=True))), []
                     if not kinds[x]:
-                        logs.by_key.update(zip(part.column(2).to_pylist(), np.log10(part.column(3).to_numpy() + 1.0).tolist(), strict=True))
+                        logs.update(zip(part.column(3).to_pylist(), np.log10(part.column(4).to_numpy() + 1.0).tolist(), strict=True))
                         continue
-                    data = [lowered(t) for t in part.column(6).to_pylist()]
+                    data = [lowered(t) for t in part.column(7).to_pylist()]
                     found = [list(map(logs.__getitem__, words_of(d))) for d in data]
                     n = [len(f) for f in found]
                     base = [sum(f) - floor * len(f) for f in found]
-                    columns = [part.column(4), part.column(5), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(summed(lambda c: model.get(c)[0], data))]
+                    columns = [part.column(5), part.column(6), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(summed(lambda c: model.get(c)[0], data))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return dealt.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 class _Logs(dict):
-    """log10(count + 1) by word, from those by key; 0 for a word that training texts don't have."""
-
-    def __init__(self):
-        super().__init__()
-        self.by_key: dict[int, float] = {}
+    """log10(count + 1) by word; 0 for a word that training texts don't have."""
 
     def __missing__(self, word: bytes) -> float:
-        value = self.by_key.get(word_key(word), 0.0)
-        self[word] = value
-        return value
+        return 0.0
 
 
 def _has_rows_numbered(docs: DataFrame) -> bool:
