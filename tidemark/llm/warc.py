@@ -101,7 +101,7 @@ class _Roller:
 
 
 class Shards(NamedTuple):
-    """starts: first id of each run of shards, sorted; first: its first shard, counted after the null ids' shards; spread: the shards that its ids are dealt over."""
+    """starts: first id of each run of shards, sorted; first: its first shard; spread: the shards that its ids are dealt over; nulls: those of null ids, from 0."""
 
     starts: np.ndarray
     first: np.ndarray
@@ -141,19 +141,23 @@ def _shards(pages: DataFrame, shard_bytes: int) -> Shards:
                 a, step = parts[base]
                 spans[cell] = (a + (cell - base) * step, step, size)
     forget(sizes)
-    starts, first, spread, held, at = [], [], [], 0, 0
+    spread_nulls = max(1, -(-int(nulls) // shard_bytes))
+    starts, first, spread = [], [], []
+    shard, held = (spread_nulls, int(nulls) if spread_nulls == 1 else None) if nulls else (0, None)  # held: bytes of the shard that may take more
     for a, size, single in sorted(leaves):
         many = -(-size // shard_bytes) if single else 1
-        if not starts or held + size > shard_bytes:
-            at += spread[-1] if spread else 0
+        if held is None or many > 1 or held + size > shard_bytes:
             starts.append(a)
-            first.append(at)
+            first.append(shard)
             spread.append(many)
-            held = 0
+            shard, held = shard + many, size if many == 1 else None
+            continue
+        if not starts:  # beside the rows of null ids
+            starts.append(a)
+            first.append(shard - 1)
+            spread.append(1)
         held += size
-        if many > 1:
-            held = shard_bytes
-    return Shards(*(np.array(x, dtype=np.int64) for x in (starts, first, spread)), max(1, -(-int(nulls) // shard_bytes)))
+    return Shards(*(np.array(x, dtype=np.int64) for x in (starts, first, spread)), spread_nulls)
 
 
 def _runs(shards: Shards) -> Callable[[Column], Column]:
@@ -166,7 +170,7 @@ def _runs(shards: Shards) -> Callable[[Column], Column]:
         first, spread = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), s.nulls, dtype=np.int64)
         if known.any():
             at = np.maximum(np.searchsorted(s.starts, ids[known].astype("int64").to_numpy(), "right") - 1, 0)
-            first[known], spread[known] = s.nulls + s.first[at], s.spread[at]
+            first[known], spread[known] = s.first[at], s.spread[at]
         return pd.DataFrame({"first": first, "spread": spread})
 
     return run
