@@ -214,7 +214,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series(out, dtype=object)
 
     name = free_name(docs, "_lang")
-    kept = docs.withColumn(name, found(F.col(text_col))).where(F.col(name).isNotNull())
+    once = found.asNondeterministic()  # so that the filter and the column share one evaluation
+    kept = docs.withColumn(name, once(F.col(text_col))).where(F.col(name).isNotNull())
     kind = docs.schema[lang_col].dataType
     filled = F.coalesce(F.col(lang_col), F.nullif(F.col(name), F.lit(UNKNOWN)).cast(kind))
     return kept.select(*[filled.alias(lang_col) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
