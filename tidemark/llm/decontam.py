@@ -9,12 +9,12 @@ leave, and is then verified with Myers' bit-parallel distance.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +90,7 @@ class Matcher:
         firsts = [{t[i : i + GRAM]: i for i in range(len(t) - GRAM, -1, -1)} for _, t in items]
         often = Counter(g for f in firsts for g in f)
         # of each distinct gram its first place in the item, the rarest grams first
-        self.grams = [np.array([f[g] for g in sorted(f, key=lambda g: (often[g], g))], dtype=np.int32) for f in firsts]
+        self.grams = [array("I", [f[g] for g in sorted(f, key=lambda g: (often[g], g))]) for f in firsts]
         places = defaultdict(list)
         for n, p in enumerate(self.patterns):
             for at, piece in pieces(p.text):
