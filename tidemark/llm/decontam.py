@@ -2,14 +2,13 @@
 
 Texts and test items are compared as words: lower case, runs of other characters as one space. An item of m characters may differ
 by a budget of k edits; it is split into k + 1 pieces, of which one at least stands unchanged in any match. An Aho-Corasick automaton
-finds all piece hits in a text; each says where the item would lie. Such a window must share as many distinct grams as k edits
-leave, and is then verified with Myers' bit-parallel distance.
+finds all piece hits in a text; each says where the item would lie. Such a window must share as many grams that don't overlap as
+k edits leave, and is then verified with Myers' bit-parallel distance.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -87,10 +86,9 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.patterns = [pattern(i, t) for i, t in items]
-        firsts = [{t[i : i + GRAM]: i for i in range(len(t) - GRAM, -1, -1)} for _, t in items]
-        often = Counter(g for f in firsts for g in f)
-        # of each distinct gram its first place in the item, the rarest grams first
-        self.grams = [array("I", [f[g] for g in sorted(f, key=lambda g: (often[g], g))]) for f in firsts]
+        apart = [{t[i : i + GRAM] for i in range(0, len(t) - GRAM + 1, GRAM)} for _, t in items]
+        often = Counter(g for some in apart for g in some)
+        self.grams = [sorted(some, key=lambda g: (often[g], g)) for some in apart]  # the rarest first, so that most windows fail soon
         places = defaultdict(list)
         for n, p in enumerate(self.patterns):
             for at, piece in pieces(p.text):
@@ -128,9 +126,9 @@ class Matcher:
                 if b - a < len(p.text) - k:
                     continue
                 part = data[a:b]
-                lacking = GRAM * k  # distinct grams that k edits can take away; rare ones come first, so that most windows fail soon
-                for i in self.grams[n]:
-                    if p.text[i : i + GRAM] not in part:
+                lacking = k  # grams that don't overlap: an edit takes away one at most
+                for g in self.grams[n]:
+                    if g not in part:
                         lacking -= 1
                         if lacking < 0:
                             break
