@@ -188,3 +188,61 @@ def test_bad_calendar(text):
 def test_addresses(spark):
     df = spark.createDataFrame([("1.2.3.4",), ("256.1.1.1",), ("::ffff:1.0.0.0",), (None,), ("",)], "a string")
     assert [r[0] for r in df.select(scalar.ipv4(F.col("a"))).collect()] == [16909060, None, 1 << 24, None, None]
+
+
+def test_deep_trees(spark):
+    """A chain of 120 directories, and one excluded in the middle."""
+    rows, path = [], ""
+    for i in range(120):
+        rows.append((path or "/", f"d{i}", i == 119))
+        path += f"/d{i}"
+    e = spark.createDataFrame(rows, "parent string, name string, leaf boolean")
+    assert sorted(r["level"] for r in hierarchy.dump(e).collect()) == list(range(1, 121))
+    assert sorted(r["level"] for r in hierarchy.dump(e, "/d0/d1").collect()) == list(range(1, 119))
+    assert hierarchy.find(e, "d11.$", "/d115$").count() == 5 and hierarchy.find(e, ".", "/d0$", "/d0/d1").count() == 118
+
+
+def test_deep_indentation(spark):
+    df = spark.createDataFrame([(1, i, i) for i in range(60)] + [(1, 60, 30)], "g int, n long, level long")
+    out = {r["n"]: r for r in hierarchy.indented_parents(df, "g", "n", "level").collect()}
+    assert all(out[i]["parent"] == i - 1 and out[i]["ok"] for i in range(1, 60)) and out[60]["parent"] == 29 and out[0]["parent"] is None
+
+
+def test_addresses_of_both_families(spark):
+    texts = ["1.2.3.4", "::ffff:1.2.3.4", "::1", "2001:DB8::8:0:1", "1:2:3:4:5:6:7:8", "::", "fe80::", "1::2::3", "12345::", ":1::2", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::8", "x", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "a string").select(scalar.address_bits(F.col("a"))).collect()]
+    import ipaddress
+
+    def want(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        a = getattr(a, "ipv4_mapped", None) or a
+        return format(int(a), f"0{a.max_prefixlen}b")
+
+    assert got == [want(t) for t in texts]
+    rules = [{"name": "six", "networks": ["2001:db8::/33"]}, {"name": "all6", "networks": ["::/0"]}, {"name": "all4", "networks": ["0.0.0.0/0"]}]
+    peers = [("2001:db8::1", 0), ("2001:db8:8000::1", 0), ("10.0.0.1", 0), ("::ffff:10.0.0.1", 0)]
+    out = network.longest_prefix(spark.createDataFrame(peers, "ip string, now long"), rules).collect()
+    assert [(r["rule"], r["match_len"]) for r in out] == [("six", 33), ("all6", 0), ("all4", 0), ("all4", 0)]
+
+
+def test_offsets_by_stretches(spark):
+    rows = [(s, i, (i * 7 + s) % 13 + 1) for s in range(3) for i in range(200)]
+    e = spark.createDataFrame(rows, "sid long, n long, size long")
+    for stretch in (None, F.floor(F.col("n") / 50), F.lit(0)):
+        out = chunkstore.with_offsets(e, "sid", ("n",), stretch=stretch).orderBy("sid", "n").collect()
+        at = {}
+        for r in out:
+            assert (r["pos"], r["start_off"]) == (r["n"], at.get(r["sid"], 0)) and r["end_off"] == r["start_off"] + r["size"]
+            at[r["sid"]] = r["end_off"]
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"long" * 40):
+        got = spark.createDataFrame([("héllo",), ("",)], "m string").select(chunking.hmac_sha256(key, F.col("m"))).collect()
+        assert [r[0] for r in got] == [hmac.new(key, m.encode(), hashlib.sha256).hexdigest() for m in ("héllo", "")]

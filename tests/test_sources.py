@@ -60,3 +60,21 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_lines(spark):
     out = twins.line_protocol(spark.createDataFrame([("a b", 1, 5)], "host string, v int, t long"), "m", ["host"], ["v"], "t")
     assert out.first()["line"] == "m,host=a\\ b v=1 5"
+
+
+def test_index_writers_check_what_they_write(spark, tmp_path):
+    digest = lambda i: f"{i:064x}"
+    good = [(1, 0, 10, digest(1)), (1, 1, 30, digest(2)), (2, 0, 5, digest(3))]
+    schema = "sid long, pos long, end_off long, digest string"
+    out = {r["sid"]: r for r in tables.write_dynamic(spark.createDataFrame(good, schema), str(tmp_path / "a")).collect()}
+    assert (out[1]["entries"], out[1]["size"]) == (2, 30)
+    for bad in ((1, 2, 30, digest(4)), (1, 2, 40, "x")):
+        with pytest.raises(Exception, match="out of order or broken"):
+            tables.write_dynamic(spark.createDataFrame([*good, bad], schema), str(tmp_path / "b"))
+    schema = "sid long, total long, offset long, size long, digest string"
+    chunks = [(1, 10, 8, 2, digest(3)), (1, 10, 0, 4, digest(1)), (1, 10, 4, 4, digest(2))]
+    out = tables.write_fixed(spark.createDataFrame(chunks, schema), str(tmp_path / "c"), 4).orderBy("pos").collect()
+    assert [(r["pos"], r["end_off"]) for r in out] == [(0, 4), (1, 8), (2, 10)]
+    for bad, why in (([*chunks[:2], (1, 10, 5, 4, digest(2))], "out of place"), (chunks[:2], "missing or twice"), ([*chunks, chunks[1]], "missing or twice"), ([*chunks[:2], (1, 10, 4, 3, digest(2))], "out of place")):
+        with pytest.raises(Exception, match=why):
+            tables.write_fixed(spark.createDataFrame(bad, schema), str(tmp_path / "d"), 4)

@@ -41,8 +41,11 @@ def changer_status(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 SMART = "STRUCT<model_name: STRING, ata_smart_attributes: STRUCT<table: ARRAY<STRUCT<id: INT, name: STRING, value: INT, worst: INT, thresh: INT, raw: STRUCT<string: STRING>>>>, nvme_smart_health_information_log: MAP<STRING, STRING>, smart_status: STRUCT<passed: BOOLEAN>>"
-#: Attributes that tell wear, the first one found counts.
-WEAR = ("Media_Wearout_Indicator", "SSD_Life_Left", "Wear_Leveling_Count", "Perc_Write/Erase_Ct_BC", "Perc_Rated_Life_Remain")
+#: Attributes that tell wear, the first one found counts.
+WEAR = (
+    "Media_Wearout_Indicator", "SSD_Life_Left", "Wear_Leveling_Count", "Perc_Write/Erase_Ct_BC", "Perc_Rated_Life_Remain", "Remaining_Lifetime_Perc", "Percent_Lifetime_Remain",
+    "Lifetime_Left", "PCT_Life_Remaining", "Lifetime_Remaining", "Percent_Life_Remaining", "Percent_Lifetime_Used", "Perc_Rated_Life_Used",
+)
 
 
 def smart_attributes(docs: DataFrame, key: str, text: str) -> DataFrame:

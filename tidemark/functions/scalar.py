@@ -86,8 +86,24 @@ def ipv4(text: Column) -> Column:
     return F.when(good, parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3])
 
 
-def network(cidr: Column) -> tuple[Column, Column]:
-    """(first address, prefix length) of an IPv4 network."""
-    length = F.get(F.split(cidr, "/"), F.lit(1)).try_cast("int")
-    size = F.pow(F.lit(2.0), 32 - length).cast("long")
-    return F.floor(ipv4(F.get(F.split(cidr, "/"), F.lit(0))) / size).cast("long") * size, length
+def _ipv6_bits(text: Column) -> Column:
+    """128 digits of an IPv6 address, null for others; one :: stands for groups of zeros."""
+    halves = F.split(text, "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    short = F.size(halves) == 2
+    whole = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)).otherwise(left)
+    good = text.rlike("^[0-9A-Fa-f:]+$") & (F.size(halves) <= 2) & ~text.rlike(":::|^:[^:]|[^:]:$") & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4) & (~short | (F.size(left) + F.size(right) < 8))
+    return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+
+def address_bits(text: Column) -> Column:
+    """An address as binary digits: 32 of an IPv4 one (or an IPv4-mapped IPv6 one), 128 of an IPv6 one, null for others."""
+    return F.coalesce(F.lpad(F.bin(ipv4(text)), 32, "0"), _ipv6_bits(text))
+
+
+def network_bits(cidr: Column) -> tuple[Column, Column]:
+    """(the prefix as binary digits, the number of digits of the family's addresses) of a network; both are null for others. No digits are the whole family."""
+    bits, length = address_bits(F.get(F.split(cidr, "/"), F.lit(0))), F.get(F.split(cidr, "/"), F.lit(1)).try_cast("int")
+    good = length.between(0, F.length(bits))
+    return F.when(good, F.left(bits, length)), F.when(good, F.length(bits))

@@ -161,3 +161,25 @@ def signature(manifest: str, key: bytes) -> str:
     """HMAC-SHA256 of a manifest's canonical JSON without its unprotected part and signature."""
     own = {k: v for k, v in json.loads(manifest).items() if k not in ("unprotected", "signature")}
     return hmac.new(key, json.dumps(own, sort_keys=True, separators=(",", ":")).encode(), hashlib.sha256).hexdigest()
+
+
+def pad(key: bytes, with_: int) -> str:
+    """Hex of a key's block for HMAC-SHA256, each byte combined with with_."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ with_ for b in block).hex()
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Hex of a message's HMAC-SHA256, by DataFrame functions only."""
+    inner = F.sha2(F.concat(F.unhex(F.lit(pad(key, 0x36))), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.unhex(F.lit(pad(key, 0x5C))), F.unhex(inner)), 256)
+
+
+def sealed(message: Column, key: Column) -> Column:
+    """An authenticated, encrypted blob (AES-256-GCM): a random 12-byte vector, the ciphertext, and the tag."""
+    return F.aes_encrypt(message.cast("binary"), key, F.lit("GCM"))
+
+
+def opened(blob: Column, key: Column) -> Column:
+    """The message of sealed(); null where the key or the tag is wrong."""
+    return F.try_aes_decrypt(blob, key, F.lit("GCM"))

@@ -12,11 +12,20 @@ DAY = 86400
 SAFETY = 300  # seconds taken off the sweep's threshold
 
 
-def with_offsets(entries: DataFrame, index: str, order: tuple[str, ...], size: str = "size") -> DataFrame:
-    """Adds pos, start_off and end_off to the entries of each index."""
-    w = Window.partitionBy(index).orderBy(*order)
-    end = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("end_off", end).withColumn("start_off", F.col("end_off") - F.col(size))
+def with_offsets(entries: DataFrame, index: str, order: tuple[str, ...], size: str = "size", stretch: Column | None = None) -> DataFrame:
+    """Adds pos, start_off and end_off to the entries of each index.
+
+    stretch: a number that never falls in the order, by default its first column. An index is added up by stretches first, so that one of any size is
+    dealt out; a task holds a stretch of it.
+    """
+    own = entries.withColumn("_stretch", F.col(order[0]) if stretch is None else stretch)
+    before = Window.partitionBy(index).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy(index, "_stretch").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    parts = parts.select(index, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    w = Window.partitionBy(index, "_stretch").orderBy(*order)
+    end = F.col("_s") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = own.join(parts, [index, "_stretch"]).withColumn("pos", (F.col("_n") + F.row_number().over(w) - 1).cast("long")).withColumn("end_off", end)
+    return out.withColumn("start_off", F.col("end_off") - F.col(size)).select(*entries.columns, "pos", "end_off", "start_off")
 
 
 def missing(refs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,33 +35,27 @@ def walk(namespaces: DataFrame, anchor: list[str], depth: int) -> DataFrame:
     return namespaces.withColumn("below", below).where((F.col("below") >= 0) & (F.col("below") <= most)).orderBy(F.array_join("ns", "/"))
 
 
-def _view(df: DataFrame) -> str:
-    name = f"tidemark_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def _below(entries: DataFrame, start: str) -> DataFrame:
+    """Entries (parent, name, ...) below start with path, and parts, the path's components."""
+    path = F.concat(F.when(F.col("parent") == "/", "").otherwise(F.col("parent")), F.lit("/"), F.col("name"))
+    base = start.rstrip("/")
+    inside = (F.col("parent") == start) | F.startswith("parent", F.lit(base + "/"))
+    return entries.where(inside).withColumn("path", path).withColumn("parts", F.slice(F.split("path", "/"), base.count("/") + 2, F.size(F.split("path", "/"))))
 
 
 def dump(entries: DataFrame, start: str = "/") -> DataFrame:
-    """All entries below start with their full paths, found by walking the edges (parent, name, leaf)."""
-    v = _view(entries)
-    return entries.sparkSession.sql(
-        f"""WITH RECURSIVE t(path, leaf, level) AS (
-  SELECT concat(if(parent = '/', '', parent), '/', name), leaf, 1 FROM {v} WHERE parent = :start
-  UNION ALL SELECT concat(t.path, '/', e.name), e.leaf, t.level + 1 FROM t JOIN {v} e ON e.parent = t.path)
-SELECT path, leaf, level FROM t""", {"start": start})
+    """All entries (parent, name, leaf) below start with their full paths and levels below it; every directory below start is an entry itself.
 
+    A parent is a whole path, so no walk is needed: one scan, of any depth.
+    """
+    return _below(entries, start).select("path", "leaf", F.size("parts").alias("level"))
 
-def find(entries: DataFrame, include: str, exclude: str, start: str = "/") -> DataFrame:
-    """Paths that include (a regular expression) matches, without what is below a path that exclude matches.
 
-    The exclude test is inside the recursion, so that an excluded directory's entries aren't reached.
-    """
-    v = _view(entries)
-    return entries.sparkSession.sql(
-        f"""WITH RECURSIVE t(path, leaf) AS (
-  SELECT concat(if(parent = '/', '', parent), '/', name), leaf FROM {v} WHERE parent = :start AND NOT concat(if(parent = '/', '', parent), '/', name) RLIKE :exclude
-  UNION ALL SELECT concat(t.path, '/', e.name), e.leaf FROM t JOIN {v} e ON e.parent = t.path WHERE NOT concat(t.path, '/', e.name) RLIKE :exclude)
-SELECT path, leaf FROM t WHERE path RLIKE :include""", {"start": start, "include": include, "exclude": exclude})
+def find(entries: DataFrame, include: str, exclude: str, start: str = "/") -> DataFrame:
+    """Paths that include (a regular expression) matches, without what is below a path that exclude matches: an entry is tested with all directories above it up to start."""
+    ahead = F.lit(start.rstrip("/"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.concat(ahead, F.lit("/"), F.array_join(F.slice("parts", F.lit(1), i), "/")))
+    return _below(entries, start).where(F.col("path").rlike(include) & ~F.exists(steps, lambda p: p.rlike(exclude))).select("path", "leaf")
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -94,16 +86,17 @@ def select_patterns(paths: DataFrame, path: str, patterns: list[str]) -> DataFra
     return paths.withColumn("included", F.coalesce(decision, F.lit(True)))
 
 
-def indented_parents(lines: DataFrame, group: str, order: str, level: str, deepest: int = 32) -> DataFrame:
-    """Adds parent: the order number of the nearest line before of a level less, null at level 0; ok is false where levels skip."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(level).over(w)
-    by_level = [F.max(F.when(F.col(level) == i, F.col(order))).over(w) for i in range(deepest)]
-    own = F.lit(None).cast("long")
-    for i in range(1, deepest):
-        own = F.when(F.col(level) == i, by_level[i - 1]).otherwise(own)
-    ok = F.when(last.isNull(), F.col(level) == 0).otherwise(F.col(level) <= last + 1)
-    return lines.withColumn("parent", own).withColumn("ok", ok & F.col(level).between(0, deepest - 1))
+def indented_parents(lines: DataFrame, group: str, order: str, level: str) -> DataFrame:
+    """Adds parent: the order number of the nearest line before of a level less, null at level 0; ok is false where levels skip.
+
+    Each line stands twice, as a parent under its own level and as a child under the one above, so levels may be any.
+    """
+    last = F.last(level).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ok = F.when(last.isNull(), F.col(level) == 0).otherwise(F.col(level) <= last + 1) & (F.col(level) >= 0)
+    rows = lines.withColumn("ok", ok)
+    twice = rows.withColumn("_as", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_key", F.col(level) - F.col("_as"))
+    near = F.last(F.when(F.col("_as") == 0, F.col(order)), ignorenulls=True).over(Window.partitionBy(group, "_key").orderBy(order, "_as"))
+    return twice.withColumn("parent", near).where("_as = 1").select(*lines.columns, F.when(F.col(level) > 0, F.col("parent")).alias("parent"), "ok")
 
 
 def nested(snapshots: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import in_duration
-from ..functions.scalar import ipv4, network
+from ..functions.scalar import address_bits, network_bits
 
 #: Severities in order.
 SEVERITIES = ("info", "notice", "warning", "error")
@@ -24,25 +24,25 @@ def longest_prefix(peers: DataFrame, rules: list[dict], ip: str = "ip", now: str
 
     Rules are few and given as a list, so they become one expression and no join.
     """
-    address = ipv4(F.col(ip))
     options = []
     for i, rule, on in active_rules(rules, F.col(now)):
         for cidr in rule["networks"]:
-            base, length = network(F.lit(cidr))
-            size = F.pow(F.lit(2.0), 32 - length).cast("long")
-            inside = on & (address >= base) & (address < base + size)
-            options.append(F.when(inside, F.struct(length.alias("match_len"), F.lit(-i).alias("place"), F.lit(rule["name"]).alias("rule"))))
+            prefix, family = network_bits(F.lit(cidr))
+            inside = on & (F.length("_bits") == family) & F.startswith("_bits", prefix)
+            options.append(F.when(inside, F.struct(F.length(prefix).alias("match_len"), F.lit(-i).alias("place"), F.lit(rule["name"]).alias("rule"))))
     best = F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    return peers.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("match_len", F.col("_best.match_len")).drop("_best")
+    return peers.withColumn("_bits", address_bits(F.col(ip))).withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("match_len", F.col("_best.match_len")).drop("_best", "_bits")
 
 
 def longest_prefix_join(peers: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:
-    """The same for any number of networks (rule, base, length): one equi-join for each address and prefix length in use."""
-    lengths = networks.select(F.collect_set("length").alias("lengths"))  # 33 at most
-    each = peers.withColumn("_a", ipv4(F.col(ip))).join(F.broadcast(lengths)).withColumn("length", F.explode("lengths"))
-    keyed = each.withColumn("base", F.floor(F.col("_a") / F.pow(F.lit(2.0), 32 - F.col("length"))).cast("long") * F.pow(F.lit(2.0), 32 - F.col("length")).cast("long"))
-    hit = keyed.join(networks.select("rule", "base", "length"), ["base", "length"])
-    best = hit.groupBy(ip).agg(F.max(F.struct("length", "rule")).alias("b"))
+    """The same for any number of networks (rule, network), IPv4 and IPv6: one equi-join for each address and prefix length in use."""
+    prefix, family = network_bits(F.col("network"))
+    nets = networks.select("rule", prefix.alias("base"), family.alias("family")).where("base IS NOT NULL")
+    lengths = nets.select(F.collect_set(F.struct("family", F.length("base").alias("length"))).alias("lengths"))  # 33 and 129 at most
+    each = peers.withColumn("_a", address_bits(F.col(ip))).join(F.broadcast(lengths)).withColumn("l", F.explode("lengths")).where(F.col("l.family") == F.length("_a"))
+    keyed = each.select(ip, F.col("l.family").alias("family"), F.left("_a", F.col("l.length")).alias("base"))
+    hit = keyed.join(nets, ["base", "family"])
+    best = hit.groupBy(ip).agg(F.max(F.struct(F.length("base").alias("length"), "rule")).alias("b"))
     return peers.join(best, ip, "left").select(*peers.columns, F.col("b.rule").alias("rule"), F.col("b.length").alias("match_len"))
 
 

@@ -63,7 +63,7 @@ def plan(snapshots: DataFrame, keep: Keep, group: tuple[str, ...] = ("type", "id
     down = F.col(time).desc()
     out = snapshots.withColumn("_hour", period("hourly", F.col(time))).withColumn("_able", done & ~shield)
     place = F.row_number().over(Window.partitionBy(*group, "_hour").orderBy(down))
-    among = F.row_number().over(Window.partitionBy(*group, "_hour", "_able").orderBy(down))
+    among = F.dense_rank().over(Window.partitionBy(*group, "_hour", "_able").orderBy(down))  # equal times are one period
     out = out.withColumn("_runs", (place == 1) | (F.col("_able") & (among <= max(1, keep.last or 0))))
     out = out.withColumn("_part", F.when(~F.col("_runs"), F.col("_hour")))  # null: those that the rules run over, together
     of = (*group, "_part")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retention", "store", "diffing", "listing", "tree", "series", "tapes", "content", "text", "flows", "endpoints", "extensions")
+MODULES = ("retention", "store", "diffing", "listing", "tree", "series", "tapes", "content", "text", "flows", "endpoints", "lists", "extensions")
 
 
 def _gathered(attribute: str) -> dict:

@@ -9,6 +9,7 @@ from ..operators import chunking
 from ..sources import views
 from ..sources.shipping import ship
 from ..sources.views import oracle
+from ..streaming import twins
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,31 @@ def blob_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.blob_round_trip(_texts(spark, sf_dir), "doc_id", "text")
 
 
+def blob_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encrypted with authentication and opened again; one byte changed, or another key, opens nothing."""
+    key, other = F.lit(b"0123456789abcdef0123456789abcdef"), F.lit(b"fedcba9876543210fedcba9876543210")
+    t = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    blob = F.col("blob")
+    spoilt = F.concat(F.substring(blob, F.lit(1), F.length(blob) - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(blob, F.length(blob), F.lit(1))), 16, 10).cast("long").bitwiseXOR(1)), 2, "0")))
+    sealed = t.withColumn("blob", chunking.sealed(F.col("text"), key))
+    again = F.sha2(chunking.opened(blob, key), 256).alias("digest")
+    return sealed.select("doc_id", again, (F.length(blob) - 28).cast("long").alias("size"), chunking.opened(spoilt, key).isNotNull().alias("spoilt_opens"), chunking.opened(blob, other).isNotNull().alias("other_key_opens"))
+
+
+def stream_chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a fixed size, from a stream of texts."""
+    s = twins.read(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return twins.drain(chunking.fixed_chunks(s, "doc_id", "text", 4096), spark, "append")
+
+
+def stream_chunk_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined chunks, from a stream of texts: bytes and chunks by text."""
+    ship(spark)
+    s = twins.read(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = twins.drain(chunking.chunk_streams(s, "doc_id", "text", 1024), spark, "append")
+    return out.groupBy("doc_id").agg(F.sum("size").alias("size"), (F.max("pos") + 1 == F.count("*")).alias("whole"))
+
+
 def crc32_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
@@ -94,9 +120,16 @@ def _signed_sql(v: str) -> str:
     return f"CASE WHEN {v} >= 0 THEN {_varint_sql(a)} ELSE {byte(0)}" + "".join(f" || CASE WHEN {a} >= {128**i} THEN {byte(i)} ELSE '' END" for i in range(1, 5)) + " || '00' END"
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_fixed_ids, chunk_dynamic, dedup_stats, dedup_dynamic, verify_digests, blob_round_trip, crc32_texts, varints, signed_varints, zero_digests, read_at)}
+QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_fixed_ids, chunk_dynamic, dedup_stats, dedup_dynamic, verify_digests, blob_round_trip, crc32_texts, blob_sealed, stream_chunk_fixed, stream_chunk_dynamic, varints, signed_varints, zero_digests, read_at)}
+
+_FIXED = """WITH e AS (SELECT doc_id, encode(coalesce(text, '')) AS d, unnest(range(0, strlen(coalesce(text, '')), 4096)) AS off FROM documents)
+SELECT doc_id, off // 4096 AS pos, off AS start_off, CAST(octet_length(d[off + 1:off + 4096]) AS BIGINT) AS size, sha256(d[off + 1:off + 4096]) AS digest FROM e"""
 
 ORACLE = {
+    "chunk_fixed": _FIXED,
+    "stream_chunk_fixed": _FIXED,
+    "stream_chunk_dynamic": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, true AS whole FROM documents WHERE text <> ''",
+    "blob_sealed": "SELECT doc_id, sha256(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, false AS spoilt_opens, false AS other_key_opens FROM documents",
     "chunk_fixed_ids": """WITH p AS (SELECT p_partkey, repeat(p_name, 20) AS d FROM part), e AS (SELECT p_partkey, d, unnest(range(0, strlen(d), 64)) AS off FROM p)
 SELECT p_partkey, e.off // 64 AS pos, e.off AS start_off, CAST(strlen(substr(d, e.off + 1, 64)) AS BIGINT) AS size, sha256(substr(d, e.off + 1, 64)) AS digest FROM e""",
     "dedup_stats": oracle("v_lines") + """, a AS (SELECT 'line' AS unit, digest, size FROM v_lines UNION ALL SELECT 'text', sha256(coalesce(text, '')), strlen(coalesce(text, '')) FROM documents),

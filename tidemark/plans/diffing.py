@@ -13,9 +13,9 @@ from ..sources.views import REF_ORDER, oracle
 
 
 def digest_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests on one side only, of the entries of two sizes."""
+    """Digests on one side only, of the smaller and the larger half of all entries."""
     r = views.refs(spark, sf_dir)
-    return diffing.symmetric_difference(r.where("size = 1024"), r.where("size = 2048"))
+    return diffing.symmetric_difference(r.where("size <= 25600"), r.where("size > 25600"))
 
 
 def _files(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
@@ -129,7 +129,7 @@ a AS (SELECT *, coalesce(lag(old) OVER (PARTITION BY type, id ORDER BY time), fa
 t AS (SELECT type, id, time, CASE WHEN old THEN 'skip-synced' WHEN back >= 2 AND NOT after THEN 'skip-last' ELSE 'transfer' END AS action FROM a)"""
 
 ORACLE = {
-    "digest_symdiff": oracle("v_refs") + """, a AS (SELECT digest FROM v_refs WHERE size = 1024), b AS (SELECT digest FROM v_refs WHERE size = 2048)
+    "digest_symdiff": oracle("v_refs") + """, a AS (SELECT digest FROM v_refs WHERE size <= 25600), b AS (SELECT digest FROM v_refs WHERE size > 25600)
 (SELECT digest, 'a' AS side FROM (SELECT digest FROM a EXCEPT SELECT digest FROM b)) UNION ALL (SELECT digest, 'b' AS side FROM (SELECT digest FROM b EXCEPT SELECT digest FROM a))""",
     "snapshot_diff": f"""SELECT path, CASE WHEN a.mtime IS NULL THEN 'added' WHEN b.mtime IS NULL THEN 'deleted' ELSE 'modified' END AS state
 FROM {_side(1)} a FULL JOIN {_side(2)} b USING (path) WHERE a.mtime IS NULL OR b.mtime IS NULL OR a.mtime IS DISTINCT FROM b.mtime OR a.mode IS DISTINCT FROM b.mode""",

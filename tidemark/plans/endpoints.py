@@ -67,7 +67,7 @@ def notification_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package versions, a fixed list first, each once."""
-    p = views.table(spark, sf_dir, "part").where("p_size <= 2").select(F.col("p_brand").alias("package"), F.col("p_size").cast("string").alias("version")).groupBy("package").agg(F.max("version").alias("version"))
+    p = views.table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_size").cast("string").alias("version")).groupBy("package").agg(F.max("version").alias("version"))
     first = spark.createDataFrame([("Brand#1", 0), ("Brand#2", 1), ("kernel", 2)], "package string, place int")
     return p.join(first, "package", "full_outer").select("package", F.coalesce("version", F.lit("unknown")).alias("version"), F.coalesce("place", F.lit(1000)).alias("place")).orderBy("place", "package")
 
@@ -189,11 +189,11 @@ def manifest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of small manifests; the free part doesn't count."""
-    import json
-
-    rows = [(i, chunking.signature(json.dumps({"type": "vm", "id": str(i // 2), "unprotected": {"n": i}}), b"key")) for i in range(6)]
-    return spark.createDataFrame(rows, "n int, signature string")
+    """Signatures of all snapshots' manifests; the free part (notes) doesn't count."""
+    s = views.snapshots(spark, sf_dir)
+    manifest = F.to_json(F.struct("type", "id", F.struct("notes").alias("unprotected")))
+    own = F.from_json(manifest, "type string, id string")
+    return s.select("sid", chunking.hmac_sha256(b"key", F.to_json(F.struct(own["id"].alias("id"), own["type"].alias("type")))).alias("signature"))
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ j AS (SELECT *, 'store' || (key % 5) AS store, CASE kind WHEN 'sync' THEN 'syncj
 SELECT name, kind, store, last, CASE WHEN NOT disabled THEN (coalesce(last, 0) // 86400 + 1) * 86400 END AS next_run FROM j LEFT JOIN t USING (store, worker_type)""",
     "list_drives": "SELECT s_name AS drive, s_suppkey AS serial, CASE WHEN s_acctbal > 7000 THEN 'vendor' || (s_suppkey % 3) END AS vendor, CASE WHEN s_acctbal > 9000 THEN 'busy' END AS state FROM supplier WHERE s_acctbal > 5000",
     "notification_values": f"WITH {_CONFIG} SELECT CASE kind WHEN 'datastore' THEN 'datastore' WHEN 'pool' THEN 'media-pool' ELSE 'job-id' END AS field, name AS value FROM c WHERE kind IN ('datastore', 'sync', 'prune', 'verify', 'tape-job', 'pool') UNION ALL SELECT * FROM (VALUES ('hostname', 'localhost'), ('type', 'gc'), ('type', 'prune'), ('type', 'sync'), ('type', 'verify')) v(f, v)",
-    "versions": "WITH p AS (SELECT p_brand AS package, max(CAST(p_size AS VARCHAR)) AS version FROM part WHERE p_size <= 2 GROUP BY 1), f AS (SELECT * FROM (VALUES ('Brand#1', 0), ('Brand#2', 1), ('kernel', 2)) v(package, place)) SELECT package, coalesce(version, 'unknown') AS version, coalesce(place, 1000) AS place FROM p FULL JOIN f USING (package)",
+    "versions": "WITH p AS (SELECT p_brand AS package, max(CAST(p_size AS VARCHAR)) AS version FROM part GROUP BY 1), f AS (SELECT * FROM (VALUES ('Brand#1', 0), ('Brand#2', 1), ('kernel', 2)) v(package, place)) SELECT package, coalesce(version, 'unknown') AS version, coalesce(place, 1000) AS place FROM p FULL JOIN f USING (package)",
     "disk_usage": "SELECT p_partkey AS disk, CAST(p_size AS BIGINT) AS size, CASE WHEN p_type = 'SMALL' THEN 'mounted' WHEN p_brand = 'Brand#1' THEN 'lvm' WHEN p_type = 'LARGE' THEN 'zfs' WHEN p_size < 20 THEN 'partitions' WHEN p_size > 40 THEN 'filesystem' ELSE 'unused' END AS usage FROM part",
     "partition_use": "SELECT p_partkey AS disk, CAST(p_size % 6 AS BIGINT) AS type_id, CASE p_size % 6 WHEN 1 THEN 'bios' WHEN 2 THEN 'efi' WHEN 3 THEN 'zfs reserved' ELSE CASE WHEN p_partkey % 4 = 0 THEN 'filesystem' ELSE 'unused' END END AS use FROM part",
     "package_list": """WITH i AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS version FROM part WHERE p_type <> 'PROMO' AND p_brand = 'Brand#3'),
@@ -247,6 +247,7 @@ SELECT 'pkg' || k AS package, version, CAST(p_size + 1 AS VARCHAR) AS candidate
     "pull_stats": oracle("v_tasks") + "SELECT split_part(worker_id, ':', 1) AS store, count(*) AS pulls, CAST(sum(duration) AS BIGINT) AS elapsed, CAST(sum(CASE WHEN task % 3 = 0 THEN task % 10 END) AS BIGINT) AS vanished FROM v_tasks WHERE worker_type = 'syncjob' GROUP BY 1",
     "fixed_checksums": oracle("v_index") + "SELECT sid, sha256(string_agg(digest, ',' ORDER BY pos)) AS csum FROM v_index GROUP BY sid",
     "manifest_update": oracle("v_snapshots") + "SELECT sid, notes, coalesce(verify_state, 'none') AS verify FROM v_snapshots",
+    "manifest_signatures": oracle("v_snapshots") + f"SELECT sid, sha256(unhex('{chunking.pad(b'key', 0x5C)}') || unhex(sha256(unhex('{chunking.pad(b'key', 0x36)}') || encode('{{\"id\":\"' || id || '\",\"type\":\"' || type || '\"}}')))) AS signature FROM v_snapshots",
     "job_states": oracle("v_tasks") + """, s AS (SELECT CASE WHEN task % 13 = 0 THEN 'created' WHEN stop IS NULL THEN 'started' ELSE 'finished' END AS tag, start, state FROM v_tasks)
 SELECT tag, CASE WHEN tag = 'finished' THEN state END AS state, count(*) AS jobs, max(CASE WHEN tag <> 'created' THEN start END) AS last FROM s GROUP BY 1, 2""",
     "top_outputs": oracle("v_snapshots") + "SELECT sid, printf('%.2f KiB', size / 1024) AS size, '{\"type\":\"' || type || '\",\"id\":\"' || id || '\"}' AS json FROM v_snapshots ORDER BY v_snapshots.size DESC, sid LIMIT 20",

@@ -22,7 +22,7 @@ def ext_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ext_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.refs(spark, sf_dir)
-    return r.where("size = 1024").select("digest").intersect(r.where("size = 2048").select("digest"))
+    return r.where("size <= 25600").select("digest").intersect(r.where("size > 25600").select("digest"))
 
 
 def ext_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ QUERIES = {f.__name__: f for f in (ext_rollup, ext_cube, ext_intersect, ext_sess
 ORACLE = {
     "ext_rollup": oracle("v_snapshots") + "SELECT type, owner, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM v_snapshots GROUP BY ROLLUP (type, owner)",
     "ext_cube": oracle("v_snapshots") + "SELECT type, crypt_mode, count(*) AS n, CAST(grouping(type, crypt_mode) AS BIGINT) AS gid FROM v_snapshots GROUP BY CUBE (type, crypt_mode)",
-    "ext_intersect": oracle("v_refs") + "SELECT digest FROM v_refs WHERE size = 1024 INTERSECT SELECT digest FROM v_refs WHERE size = 2048",
+    "ext_intersect": oracle("v_refs") + "SELECT digest FROM v_refs WHERE size <= 25600 INTERSECT SELECT digest FROM v_refs WHERE size > 25600",
     "ext_session_window": """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600 THEN 0 ELSE 1 END AS new FROM e),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     "ext_asof": """WITH e AS (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ipv4
-from ..functions.scalar import network as net
 from ..operators import network
 from ..sources import views
 from ..sources.views import oracle
@@ -17,6 +16,8 @@ TRAFFIC = [
     {"name": "host", "networks": ["10.0.0.35/32", "127.0.0.0/8"], "timeframes": ["20-23:59"]},
     {"name": "wide", "networks": ["10.0.0.0/8"]},
     {"name": "all", "networks": ["0.0.0.0/0"]},
+    {"name": "six", "networks": ["2001:db8::/32", "2001:DB8:0:0::1/128"], "timeframes": ["mon..sun 0-11:59"]},
+    {"name": "else", "networks": ["::/0"]},
 ]
 MATCHERS = [
     {"targets": ["mail"], "severity": ["error", "warning"]},
@@ -39,9 +40,7 @@ def rule_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without hours, networks being a table."""
     rows = [(r["name"], c) for r in TRAFFIC for c in r["networks"]]
-    base, length = net(F.col("cidr"))
-    nets = spark.createDataFrame(rows, "rule string, cidr string").select("rule", base.alias("base"), length.alias("length"))
-    return network.longest_prefix_join(_peers(spark, sf_dir).select("ip").distinct(), nets)
+    return network.longest_prefix_join(_peers(spark, sf_dir).select("ip").distinct(), spark.createDataFrame(rows, "rule string, network string"))
 
 
 def current_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +92,13 @@ p AS (SELECT *, CASE u % 7 WHEN 0 THEN '127.0.0.' || (u % 250) WHEN 1 THEN '::ff
   now // 60 % 1440 AS minute, isodow(DATE '1970-01-01' + CAST(now // 86400 AS INTEGER)) <= 5 AS week FROM p0),
 a AS (SELECT *, string_split(replace(ip, '::ffff:', ''), '.') AS q FROM p),
 n AS (SELECT *, CASE WHEN len(q) = 4 THEN CAST(q[1] AS BIGINT) * 16777216 + CAST(q[2] AS BIGINT) * 65536 + CAST(q[3] AS BIGINT) * 256 + CAST(q[4] AS BIGINT) END AS num FROM a),
-h AS (SELECT *, CASE WHEN num IS NULL THEN NULL WHEN (num = 167772195) AND minute BETWEEN 1200 AND 1438 THEN 'host/32' WHEN num BETWEEN 167772160 AND 167772415 AND week AND (minute BETWEEN 480 AND 719 OR minute BETWEEN 780 AND 1049) THEN 'office/24'
+h AS (SELECT *, CASE WHEN num IS NULL THEN CASE WHEN minute <= 718 THEN 'six/128' ELSE 'else/0' END WHEN (num = 167772195) AND minute BETWEEN 1200 AND 1438 THEN 'host/32' WHEN num BETWEEN 167772160 AND 167772415 AND week AND (minute BETWEEN 480 AND 719 OR minute BETWEEN 780 AND 1049) THEN 'office/24'
   WHEN num // 16777216 = 127 AND minute BETWEEN 1200 AND 1438 THEN 'host/8' WHEN num // 16777216 = 10 THEN 'wide/8' ELSE 'all/0' END AS hit FROM n)"""
 
 ORACLE = {
     "rule_longest_prefix": oracle("v_tasks", ctes=_PEERS) + "SELECT task, split_part(hit, '/', 1) AS rule, CAST(split_part(hit, '/', 2) AS INTEGER) AS match_len FROM h",
-    "prefix_join": oracle("v_tasks", ctes=_PEERS) + "SELECT DISTINCT ip, CASE WHEN num = 167772195 THEN 'host' WHEN num BETWEEN 167772160 AND 167772415 THEN 'office' WHEN num // 16777216 = 127 THEN 'host' WHEN num // 16777216 = 10 THEN 'wide' WHEN num IS NOT NULL THEN 'all' END AS rule, CASE WHEN num = 167772195 THEN 32 WHEN num BETWEEN 167772160 AND 167772415 THEN 24 WHEN num // 16777216 IN (10, 127) THEN 8 WHEN num IS NOT NULL THEN 0 END AS match_len FROM n",
-    "current_traffic": oracle("v_tasks", ctes=_PEERS) + ", r AS (SELECT unnest(['office', 'host', 'wide', 'all', 'idle']) AS rule) SELECT r.rule, CAST(coalesce(sum(task), 0) AS BIGINT) AS rate_in, count(task) AS rate_out FROM r LEFT JOIN h ON split_part(hit, '/', 1) = r.rule GROUP BY r.rule",
+    "prefix_join": oracle("v_tasks", ctes=_PEERS) + "SELECT DISTINCT ip, CASE WHEN num = 167772195 THEN 'host' WHEN num BETWEEN 167772160 AND 167772415 THEN 'office' WHEN num // 16777216 = 127 THEN 'host' WHEN num // 16777216 = 10 THEN 'wide' WHEN num IS NOT NULL THEN 'all' ELSE 'six' END AS rule, CASE WHEN num = 167772195 THEN 32 WHEN num BETWEEN 167772160 AND 167772415 THEN 24 WHEN num // 16777216 IN (10, 127) THEN 8 WHEN num IS NOT NULL THEN 0 ELSE 128 END AS match_len FROM n",
+    "current_traffic": oracle("v_tasks", ctes=_PEERS) + ", r AS (SELECT unnest(['office', 'host', 'wide', 'all', 'six', 'else', 'idle']) AS rule) SELECT r.rule, CAST(coalesce(sum(task), 0) AS BIGINT) AS rate_in, count(task) AS rate_out FROM r LEFT JOIN h ON split_part(hit, '/', 1) = r.rule GROUP BY r.rule",
     "addresses": oracle("v_tasks", ctes=_PEERS) + "SELECT DISTINCT ip, num AS number FROM n",
     "notification_routes": oracle("v_tasks") + """, x AS (SELECT task, coalesce(state, 'info') AS s, worker_type AS w, "user" AS u, start // 60 % 1440 AS m FROM v_tasks)
 SELECT DISTINCT task, target FROM (SELECT task, 'mail' AS target FROM x WHERE s IN ('error', 'warning') UNION ALL SELECT task, unnest(['chat', 'mail']) FROM x WHERE NOT (w IN ('prunejob', 'syncjob') OR starts_with(u, 'user1')) UNION ALL SELECT task, 'pager' FROM x WHERE s = 'error' AND m < 480)""",

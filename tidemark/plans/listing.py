@@ -34,9 +34,9 @@ def group_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred groups of the list's order, some ids being no numbers."""
+    """All groups in the list's order, some ids being no numbers."""
     g = views.snapshots(spark, sf_dir).select("type", F.when(F.col("sid") % 3 == 0, F.concat(F.lit("n"), "id")).otherwise(F.col("id")).alias("id")).distinct()
-    return ls.page(g, ls.group_order(), 0, 100)
+    return g.orderBy(*ls.group_order())
 
 
 def group_filter_inc_exc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,4 +181,4 @@ count(*) FILTER (verify_state IS NOT NULL AND {NOW} - verified > 2592000) AS out
     "tokens_by_user": "SELECT c_custkey AS \"user\", coalesce(string_agg('t' || o_orderkey, ',' ORDER BY 't' || o_orderkey), '') AS tokens FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '5-LOW') ON c_custkey = o_custkey GROUP BY c_custkey",
     "active_operations": oracle("v_tasks") + f"SELECT CASE worker_type WHEN 'syncjob' THEN split_part(worker_id, ':', 2) ELSE {_STORE} END AS store, count(*) FILTER (worker_type <> 'backup') AS reading, count(*) FILTER (worker_type = 'backup') AS writing FROM v_tasks WHERE stop IS NULL AND duration >= 10 GROUP BY 1",
 }
-ORACLE["group_order"] = ORACLE["group_order"].replace("SELECT DISTINCT type", "SELECT type, id FROM (SELECT DISTINCT type") + ") ORDER BY r, try_cast(id AS BIGINT) NULLS LAST, id LIMIT 100"
+ORACLE["group_order"] = ORACLE["group_order"].replace("SELECT DISTINCT type", "SELECT type, id FROM (SELECT DISTINCT type") + ") ORDER BY r, try_cast(id AS BIGINT) NULLS LAST, id"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunking
 from ..operators import chunkstore as cs
 from ..operators.rangejoin import point_join
-from ..sources import views
+from ..sources import tables, views
+from ..sources.shared import shared_dir
 from ..sources.shipping import ship
 from ..sources.views import NOW, REF_ORDER, oracle
 
@@ -29,6 +33,20 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.with_offsets(views.refs(spark, sf_dir), "sid", REF_ORDER).select("sid", "pos", "digest", "size", "start_off", "end_off")
 
 
+def dynamic_index_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes written with their checks, and the checksums of what was written."""
+    e = cs.with_offsets(views.refs(spark, sf_dir), "sid", REF_ORDER)
+    return tables.write_dynamic(e.select("sid", "pos", "end_off", "digest"), f"{shared_dir(spark)}/dynamic-index-{uuid.uuid4().hex}")
+
+
+def fixed_index_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes of texts in chunks of 4096 bytes, written in the order of digests."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    c = chunking.fixed_chunks(d, "doc_id", "text", 4096).join(d.select("doc_id", F.octet_length("text").cast("long").alias("total")), "doc_id")
+    chunks = c.select(F.col("doc_id").alias("sid"), "total", F.col("start_off").alias("offset"), "size", "digest").orderBy("digest")
+    return tables.write_fixed(chunks, f"{shared_dir(spark)}/fixed-index-{uuid.uuid4().hex}", 4096)
+
+
 def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of indexes, their bytes with repeats, and distinct digests."""
     return views.refs(spark, sf_dir).agg(F.count_distinct("sid").alias("files"), F.sum("size").alias("bytes"), F.count_distinct("digest").alias("digests"))
@@ -148,7 +166,7 @@ b AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY sid OR
 _SWEEP = f"""{_LIVE}, m AS (SELECT c.* EXCLUDE (atime), CASE WHEN u.digest IS NULL THEN atime ELSE {NOW} END AS atime FROM v_chunks c LEFT JOIN (SELECT DISTINCT digest FROM live) u USING (digest)),
 s AS (SELECT *, CASE WHEN atime < {min(NOW - 86400, WRITER) - 300} THEN 'removed' WHEN atime < {WRITER} THEN 'pending' ELSE 'kept' END AS state FROM m)"""
 
-QUERIES = {f.__name__: f for f in (index_entries, index_totals, chunk_prefixes, gc_missing, gc_classify, gc_report, chunk_top_used, chunk_references, chunk_insert, known_chunks, upload_report, archive_numbers, index_checksums, verify_snapshots, verify_due, point_lookup, fixed_offsets, index_clone, recover_index, tape_new_chunks, chunk_write_stats)}
+QUERIES = {f.__name__: f for f in (index_entries, dynamic_index_written, fixed_index_written, index_totals, chunk_prefixes, gc_missing, gc_classify, gc_report, chunk_top_used, chunk_references, chunk_insert, known_chunks, upload_report, archive_numbers, index_checksums, verify_snapshots, verify_due, point_lookup, fixed_offsets, index_clone, recover_index, tape_new_chunks, chunk_write_stats)}
 
 ORACLE = {
     "index_entries": oracle("v_index") + "SELECT sid, pos, digest, size, CAST(start_off AS BIGINT) AS start_off, CAST(end_off AS BIGINT) AS end_off FROM v_index",
@@ -171,6 +189,9 @@ f AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY size > 0 DESC, s
 SELECT *, CASE WHEN bytes > 0 THEN (bytes - uploaded) * 100 // bytes ELSE 0 END AS reused_percent FROM u""",
     "archive_numbers": oracle("v_index", ctes="""w AS (SELECT sid, pos, size AS held, CAST(0 AS BIGINT) AS archive FROM v_index WHERE pos = 0
 UNION ALL SELECT i.sid, i.pos, CASE WHEN held > 65536 THEN i.size ELSE held + i.size END, CASE WHEN held > 65536 THEN archive + 1 ELSE archive END FROM w JOIN v_index i ON i.sid = w.sid AND i.pos = w.pos + 1)""", recursive=True) + "SELECT sid, pos, archive FROM w",
+    "dynamic_index_written": oracle("v_index") + "SELECT sid, sha256(string_agg(CAST(end_off AS BIGINT) || ':' || digest, ',' ORDER BY pos)) AS csum, CAST(max(end_off) AS BIGINT) AS size, count(*) AS entries FROM v_index GROUP BY sid",
+    "fixed_index_written": """WITH e AS (SELECT doc_id, encode(coalesce(text, '')) AS d, unnest(range(0, strlen(coalesce(text, '')), 4096)) AS off FROM documents)
+SELECT doc_id AS sid, off // 4096 AS pos, least(off + 4096, octet_length(d)) AS end_off, sha256(d[off + 1:off + 4096]) AS digest FROM e""",
     "index_checksums": oracle("v_index") + "SELECT sid, sha256(string_agg(CAST(end_off AS BIGINT) || ':' || digest, ',' ORDER BY pos)) AS csum, CAST(max(end_off) AS BIGINT) AS size, count(*) AS entries FROM v_index GROUP BY sid",
     "verify_snapshots": oracle("v_refs", "v_chunks") + "SELECT sid, count(*) AS refs, count(*) FILTER (c.digest IS NULL) AS missing, count(*) FILTER (bad) AS bad, bool_and(c.digest IS NOT NULL AND NOT bad) AS ok FROM v_refs r LEFT JOIN v_chunks c ON r.digest = c.digest GROUP BY sid",
     "verify_due": oracle("v_snapshots") + f"SELECT type, id, sid FROM v_snapshots WHERE (verify_state IS NULL OR floor(({NOW} - verified) / 86400) > 30) AND NOT (type = 'host' AND id = '7')",

@@ -126,7 +126,7 @@ def accessible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equal_member_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands whose parts come in the same sizes, with those sizes."""
-    p = views.table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_size").alias("size"), (F.col("p_partkey") % 6).cast("string").alias("k"))
+    p = views.table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), (F.col("p_partkey") % 6).cast("string").alias("k"))
     return access.group_equal_lists(p, "k", "size")
 
 
@@ -139,7 +139,7 @@ def group_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indented_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents of lines by their indentation; the levels come from part sizes, made to skip none but in a few lists."""
     p = views.table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("list"), F.col("p_partkey").alias("line"), (F.floor(F.col("p_partkey") / 50) % 4).cast("long").alias("level"))
-    return hierarchy.indented_parents(p, "list", "line", "level", 6).select("list", "line", "level", "parent", "ok")
+    return hierarchy.indented_parents(p, "list", "line", "level").select("list", "line", "level", "parent", "ok")
 
 
 QUERIES = {f.__name__: f for f in (ns_walk, ns_properties, catalog_dump, catalog_find, catalog_ls, path_complete, glob_select, acl_parse, acl_lines, acl_roles, acl_privs, permission_map, acl_any_below, acl_children, role_list, accessible_groups, equal_member_lists, group_tree, indented_tree)}
@@ -191,7 +191,7 @@ SELECT 'acl:' || CAST(propagate AS INTEGER) || ':/' || array_to_string(path, '/'
     "accessible_groups": oracle("v_namespaces", "v_snapshots", ctes=_ACL) + f""", g AS (SELECT DISTINCT r_name, n_name, type, id, owner FROM v_snapshots JOIN orders ON sid = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT '/datastore/main/' || r_name || '/' || n_name AS path, count(*) AS groups FROM g JOIN x ON x.path = ['datastore', 'main', r_name, n_name] AND "user" = 'backup@local'
 WHERE privs & {access.bits("Datastore.Audit")} <> 0 OR (privs & {access.bits("Datastore.Backup")} <> 0 AND owner = 'user3@local') GROUP BY 1""",
-    "equal_member_lists": """WITH l AS (SELECT p_partkey % 6 AS k, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS members FROM part WHERE p_size <= 3 GROUP BY 1)
+    "equal_member_lists": """WITH l AS (SELECT p_partkey % 6 AS k, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS members FROM part GROUP BY 1)
 SELECT members, string_agg(CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) AS keys FROM l GROUP BY members""",
     "group_tree": oracle("v_snapshots") + "SELECT type, id, CAST(count(*) AS INTEGER) AS n, max(time) AS newest FROM v_snapshots GROUP BY type, id",
     "indented_tree": """WITH p AS (SELECT p_partkey % 50 AS list, p_partkey AS line, p_partkey // 50 % 4 AS level FROM part),

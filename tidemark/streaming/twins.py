@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.shared import shared_dir
+
 #: Wide enough that nothing of the data here is late.
 WATERMARK = "400 days"
 
@@ -41,7 +42,7 @@ def roll_up(stream: DataFrame, time: str, name: str, value: str, resolution: str
 
 def drain(stream: DataFrame, spark: SparkSession, mode: str, shared: str | None = None) -> DataFrame:
     """Runs a stream over all that is there, into Parquet or, for updated aggregates, into the last state; the result as a batch."""
-    base = f"{shared or spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared or shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/rows")
         _finish(q)
