@@ -119,5 +119,5 @@ def test_against_the_rules_one_by_one(spark, seed):
 
 def test_equal_times_are_one_period_of_the_last_rule(spark):
     rows = [("vm", "1", 100, True, False)] * 3 + [("vm", "1", 50, True, False)]
-    out = retention.plan(spark.createDataFrame(rows, "type string, id string, time long, finished boolean, protected boolean"), retention.Keep(last=3)).collect()
+    out = plan(spark.createDataFrame(rows, "type string, id string, time long, finished boolean, protected boolean"), Keep(last=3)).collect()
     assert sorted((r["time"], r["mark"]) for r in out) == [(50, "keep"), (100, "keep"), (100, "remove"), (100, "remove")]
