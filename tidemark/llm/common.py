@@ -43,7 +43,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

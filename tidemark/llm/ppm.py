@@ -13,6 +13,7 @@ go to the documents by runs of rows of the input.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -40,6 +41,11 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def held_out(key: int | None) -> bool:
+    """Whether a row of this id isn't learnt from."""
+    return key is not None and zlib.crc32(str(key).encode()) % 7 == 2
+
+
 def words_of(data: bytes) -> list[bytes]:
     """The text's words and the end."""
     return [*_WORD.findall(data), _END_WORD]
@@ -307,15 +313,16 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     floor = float(np.log10(tokens + distinct + 1))
 
     # a key has a row for each run that has the word or code, never one for each document
-    none = {"id": F.lit(None).cast("long"), "held": F.lit(None).cast("boolean"), "t": F.lit(None).cast("string"), "key": F.lit(None).cast("long"), "word": F.lit(None).cast("binary"), "c": F.lit(None).cast("double")}
-
-    def part(df: DataFrame, kind: int, **own: Column) -> DataFrame:
-        return df.select("run", F.lit(kind).alias("kind"), *[own.get(c, none[c]).alias(c) for c in ("key", "word", "c", "id", "held", "t")])
+    def part(df: DataFrame, kind: int, key: Column | None = None, c: Column | None = None, x: Column | None = None) -> DataFrame:
+        """Rows of few columns: they are many. key: a code or an id; c: a word's count or a code's log10; x: a word or a text."""
+        empty = {"key": F.lit(None).cast("long"), "c": F.lit(None).cast("double"), "x": F.lit(None).cast("binary")}
+        return df.select("run", F.lit(kind).alias("kind"), *[(empty[n] if v is None else v).alias(n) for n, v in (("key", key), ("c", c), ("x", x))])
 
-    known = part(words.join(totals, "word"), 0, word=F.col("word"), c=F.col("c").cast("double"))
+    known = part(words.join(totals, "word"), 0, c=F.col("c").cast("double"), x=F.col("word"))
     chance = part(counted.where("kind = 1").join(chances, "key"), 1, key=F.col("key"), c=F.col("p").cast("double"))
-    texts = part(rows, 2, id=F.col("id"), held=F.col("held"), t=F.col("t"))
-    dealt = known.unionByName(chance).unionByName(texts).repartition("run").sortWithinPartitions("run", "kind")
+    texts = part(rows, 2, key=F.col("id"), x=F.col("t").cast("binary"))
+    runs = max(1, min(counted.select("run").distinct().count(), 1 << 15))
+    dealt = known.unionByName(chance).unionByName(texts).repartition(runs, "run").sortWithinPartitions("run", "kind")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,18 +337,18 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         now, logs, model, gathered = runs[x], _Logs(), None, []
                     part = b.slice(x, y - x)
                     if kinds[x] == 1:
-                        gathered.append((part.column(2).to_numpy(), part.column(4).to_numpy().astype(np.float32)))
+                        gathered.append((part.column(2).to_numpy(), part.column(3).to_numpy().astype(np.float32)))
                         continue
                     if kinds[x] == 2 and model is None:
                         model, gathered = Lookup(*(np.concatenate(c) for c in zip(*gathered, strict=True))), []
                     if not kinds[x]:
-                        logs.update(zip(part.column(3).to_pylist(), np.log10(part.column(4).to_numpy() + 1.0).tolist(), strict=True))
+                        logs.update(zip(part.column(4).to_pylist(), np.log10(part.column(3).to_numpy() + 1.0).tolist(), strict=True))
                         continue
-                    data = [lowered(t) for t in part.column(7).to_pylist()]
+                    data = [(t or b"").lower() for t in part.column(4).to_pylist()]
                     found = [list(map(logs.__getitem__, words_of(d))) for d in data]
                     n = [len(f) for f in found]
                     base = [sum(f) - floor * len(f) for f in found]
-                    columns = [part.column(5), part.column(6), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(summed(lambda c: model.get(c)[0], data))]
+                    columns = [part.column(2), pa.array([held_out(i) for i in part.column(2).to_pylist()]), pa.array(n, type=pa.int64()), pa.array([sum(map(bool, f)) for f in found], type=pa.int64()), pa.array([tokens] * len(n), type=pa.int64()), pa.array(base), pa.array(summed(lambda c: model.get(c)[0], data))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return dealt.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
