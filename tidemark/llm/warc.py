@@ -186,7 +186,8 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    run_of = _runs(_shards(rows, shard_bytes))
+    shards = _shards(rows, shard_bytes)
+    run_of, tasks = _runs(shards), min(max(shards.nulls, int((shards.first + shards.spread).max(initial=0))), 1 << 15)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "url")
     narrow = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("id", "url", F.sha2("html", 256).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -197,7 +198,7 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
     marks = marks.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.explode(F.expr("sequence(_run.first, _run.first + _run.spread - 1)")))
     wide = wide.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.col("_run.first") + F.pmod(F.xxhash64("url", "html"), F.col("_run.spread")))
     merged = marks.drop("_run").unionByName(wide.drop("_run"))
-    dealt = merged.repartition("shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "kind", "digest", F.xxhash64("html"))
+    dealt = merged.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "kind", "digest", F.xxhash64("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, marked, key = _Roller(base, file_bytes), {}, None
