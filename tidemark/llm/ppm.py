@@ -26,7 +26,7 @@ from .common import crc_mod, stash, whole_groups
 
 ORDER = 5
 #: Codes that a task gathers before it builds a trie of them; the codes of one pair of bytes always come together.
-PART = 400_000
+PART = 150_000
 #: Rows of a run: its distinct words and codes are in memory together, its texts aren't.
 RUN = 8_192
 #: Words, and codes, that a task counts before it passes the counts on.
