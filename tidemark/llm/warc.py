@@ -198,7 +198,7 @@ def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: st
     marks = marks.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.explode(F.expr("sequence(_run.first, _run.first + _run.spread - 1)")))
     wide = wide.withColumn("_run", run_of(F.col("id"))).withColumn("shard", F.col("_run.first") + F.pmod(F.xxhash64("url", "html"), F.col("_run.spread")))
     merged = marks.drop("_run").unionByName(wide.drop("_run"))
-    dealt = merged.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "kind", "digest", F.xxhash64("html"))
+    dealt = merged.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.col("url").asc_nulls_first(), "kind", "digest", F.xxhash64("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, marked, key = _Roller(base, file_bytes), {}, None
