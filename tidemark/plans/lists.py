@@ -61,7 +61,7 @@ def list_tfa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services with the state that the unit list gives them, unknown where it has none."""
+    """Services with the state of their unit's last entry, unknown where that has none or there is no unit."""
     names = spark.createDataFrame([("backup", "backup-api"), ("proxy", "backup-proxy"), ("sshd", "ssh"), ("syslog", "rsyslog"), ("cron", "cron")], "service string, unit string")
     units = views.tasks(spark, sf_dir).groupBy((F.col("task") % 4).alias("k")).agg(F.max_by("state", F.struct("start", "task")).alias("state"), F.max("start").alias("since"))
     unit = F.element_at(F.array(*[F.lit(x) for x in ("backup-api", "backup-proxy", "ssh", "cron")]), (F.col("k") + 1).cast("int"))
@@ -139,7 +139,7 @@ ORACLE = {
     "list_realms": f"WITH {_REALMS} SELECT * FROM r",
     "list_tfa": f"""WITH c AS (SELECT c_custkey AS k, 'user' || c_custkey || '@local' AS "user", array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'totp' END, CASE WHEN c_custkey % 3 = 0 THEN 'webauthn' END, CASE WHEN c_custkey % 5 = 0 THEN 'recovery' END], lambda x: x IS NOT NULL), ',') AS factors FROM customer)
 SELECT "user", factors, k % 7 = 0 AND k * 600 > 86400 AS locked FROM c WHERE factors <> '' AND (k % 4 <> 0 OR k = 4)""",
-    "list_services": oracle("v_tasks") + """, u AS (SELECT ['backup-api', 'backup-proxy', 'ssh', 'cron'][task % 4 + 1] AS unit, start AS since, state, row_number() OVER (PARTITION BY task % 4 ORDER BY start DESC, task DESC) AS rn FROM v_tasks WHERE state IS NOT NULL),
+    "list_services": oracle("v_tasks") + """, u AS (SELECT ['backup-api', 'backup-proxy', 'ssh', 'cron'][task % 4 + 1] AS unit, start AS since, state, row_number() OVER (PARTITION BY task % 4 ORDER BY start DESC, task DESC) AS rn FROM v_tasks),
 w AS (SELECT ['backup-api', 'backup-proxy', 'ssh', 'cron'][task % 4 + 1] AS unit, max(start) AS since FROM v_tasks GROUP BY 1),
 s AS (SELECT * FROM (VALUES ('backup', 'backup-api'), ('proxy', 'backup-proxy'), ('sshd', 'ssh'), ('syslog', 'rsyslog'), ('cron', 'cron')) v(service, unit))
 SELECT service, unit, coalesce(state, 'unknown') AS state, w.since FROM s LEFT JOIN (SELECT * FROM u WHERE rn = 1) u USING (unit) LEFT JOIN w USING (unit)""",
