@@ -32,6 +32,8 @@ RUN = 8_192
 #: Words, and codes, that a task counts before it passes the counts on.
 HELD = 500_000
 HELD_CODES = 1_500_000
+#: Rows of a batch that goes back to the JVM, which holds a batch as a whole.
+SENT = 65_536
 END = 0xFF  # no byte of UTF-8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _END_WORD = b"\n"
@@ -187,17 +189,23 @@ def _counted(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, codes = None, Counter(), []
 
-        def out(kind: int, of: int | None, keys: np.ndarray | list[bytes], n: np.ndarray | list[int]) -> pa.RecordBatch:
-            none = [None] * len(keys)
-            columns = [pa.array([kind] * len(keys), type=pa.int32()), pa.array([of] * len(keys), type=pa.int64()), pa.array(keys if kind else none, type=pa.int64()), pa.array(none if kind else keys, type=pa.binary()), pa.array(n, type=pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "run", "key", "word", "n"])
+        def out(kind: int, of: int | None, keys: np.ndarray | list[bytes], n: np.ndarray | list[int]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), SENT):
+                own, many = keys[at : at + SENT], n[at : at + SENT]
+                size = len(own)
+                ids, bare = (pa.array(own, type=pa.int64()), pa.nulls(size, pa.binary())) if kind else (pa.nulls(size, pa.int64()), pa.array(own, type=pa.binary()))
+                runs = pa.nulls(size, pa.int64()) if of is None else pa.array(np.full(size, of, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, dtype=np.int32)), runs, ids, bare, pa.array(many, type=pa.int64())], names=["kind", "run", "key", "word", "n"])
 
-        def words_out() -> pa.RecordBatch:
+        def words_out() -> Iterator[pa.RecordBatch]:
             return out(0, now, list(words), list(words.values()))
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in codes]), minlength=len(keys)).astype(np.int64)
+            keys, n = np.concatenate([c for c, _ in codes]), np.concatenate([m for _, m in codes])
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+            return keys[first], np.add.reduceat(n, first) if len(first) else n
 
         def gather(texts: list[bytes], learnt: bool) -> None:
             keys, n = np.unique(grams(texts)[0], return_counts=True)
@@ -216,7 +224,7 @@ def _counted(rows: DataFrame) -> DataFrame:
             for i, t in enumerate(texts):
                 if runs[i] != now or len(words) >= HELD:
                     if words:
-                        yield words_out()
+                        yield from words_out()
                     words = Counter()
                 if runs[i] != now:
                     for learnt, some in waiting.items():
@@ -224,7 +232,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                             gather(some, learnt)
                     waiting = {True: [], False: []}
                     if codes:
-                        yield out(1, now, *merged())
+                        yield from out(1, now, *merged())
                     codes = []
                 now = runs[i]
                 data = lowered(t)
@@ -239,16 +247,16 @@ def _counted(rows: DataFrame) -> DataFrame:
                     gather(some, not held[i])
                     some.clear()
                     if many():
-                        yield out(1, now, *codes.pop())
+                        yield from out(1, now, *codes.pop())
             for learnt, some in waiting.items():
                 if some:
                     gather(some, learnt)
             if many():
-                yield out(1, now, *codes.pop())
+                yield from out(1, now, *codes.pop())
         if words:
-            yield words_out()
+            yield from words_out()
         if codes:
-            yield out(1, now, *merged())
+            yield from out(1, now, *merged())
 
     return rows.select("run", "held", "t").mapInArrow(run, "kind int, run long, key long, word binary, n long")
 
