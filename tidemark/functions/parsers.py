@@ -32,6 +32,12 @@ def pool_status(lines: DataFrame, line: str = "line", order: str = "n") -> DataF
     return rows.select(F.col(order), (F.length(F.regexp_extract(line, shape, 1)) / 2).cast("long").alias("level"), part(2).alias("name"), part(3).alias("state"), part(4).try_cast("bigint").alias("read"), part(5).try_cast("bigint").alias("write"), part(6).try_cast("bigint").alias("cksum"), part(7).alias("msg"))
 
 
+def unit_value(text: Column, section: str, key: str) -> Column:
+    """A unit file's value of a key in a section, the first one; null where the section hasn't it."""
+    found = F.regexp_extract(text, rf"(?ms)^\[{section}\]$(?:(?!^\[).)*?^{key}=([^\n]*)$", 1)
+    return F.nullif(found, F.lit(""))
+
+
 def changer_status(lines: DataFrame, line: str = "line") -> DataFrame:
     """Elements of a changer's status text: kind, number, whether import/export, full, label, and the slot a drive was loaded from."""
     shape = r"^\s*(Data Transfer Element|Storage Element) (\d+)( IMPORT/EXPORT)?:\s*(Full|Empty)(?: \(Storage Element (\d+) Loaded\))?(?:\s*:?\s*VolumeTag\s*=\s*(\S+))?\s*$"

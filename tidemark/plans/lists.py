@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import calendar
+from ..functions import calendar, parsers
 from ..operators import access, tapes
 from ..sources import views
 from ..sources.views import NOW, oracle
@@ -128,7 +128,32 @@ def drive_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(views.media(spark, sf_dir).select("label", "uuid"), "label", "left")
 
 
-QUERIES = {f.__name__: f for f in (list_keys, list_traffic_controls, list_domains, list_realms, list_tfa, list_services, node_status, gc_status, list_sync_jobs, list_tape_jobs, list_changers, drive_inventory)}
+def list_metric_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric servers with their kind; the server is the host, or else the URL."""
+    s, key = _suppliers(spark, sf_dir)
+    host = F.when(key % 3 == 0, F.concat(F.lit("metrics"), key.cast("string"), F.lit(":8089")))
+    url = F.when(key % 2 == 0, F.concat(F.lit("https://metrics"), key.cast("string"), F.lit(":8086")))
+    own = s.where((key % 2 == 0) | (key % 3 == 0)).select(F.col("s_name").alias("name"), host.alias("host"), url.alias("url"), (key % 5 != 0).alias("enable"), F.when(key % 4 != 0, F.concat(F.lit("comment "), key.cast("string"))).alias("comment"))
+    return own.select("name", F.when(F.col("host").isNull(), "influxdb-http").otherwise("influxdb-udp").alias("type"), F.coalesce("host", "url").alias("server"), "enable", "comment")
+
+
+#: Where stores are mounted.
+MOUNTS = "/mnt/datastore/"
+
+
+def list_datastore_mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mount units of stores, taken from their files' text: device, path, file system, options, and the path below MOUNTS as the name."""
+    s, key = _suppliers(spark, sf_dir)
+    k = key.cast("string")
+    where = F.concat(F.when(key % 7 == 0, "/srv/").otherwise(MOUNTS), F.lit("disk"), k)
+    text = F.concat(F.lit("[Unit]\nDescription=Mount\nWhat=other\n\n[Mount]\nWhat=/dev/disk/by-uuid/"), F.md5("s_name"), F.lit("\nWhere="), where, F.lit("\nType="), F.when(key % 2 == 0, "xfs").otherwise("ext4"), F.when(key % 3 == 0, "\n").otherwise("\nOptions=defaults\n"), F.lit("\n[Install]\nOptions=none\n"))
+    files = s.select(F.concat(F.when(key % 5 == 0, "srv-").otherwise("mnt-datastore-"), F.lit("disk"), k, F.when(key % 11 == 0, ".service").otherwise(".mount")).alias("unit"), text.alias("text"))
+    value = lambda key: parsers.unit_value(F.col("text"), "Mount", key)
+    mounts = files.where(F.col("unit").rlike(r"^mnt-datastore-(.+)\.mount$")).select(F.concat(F.lit("/etc/systemd/system/"), "unit").alias("unitfile"), value("What").alias("device"), value("Where").alias("path"), value("Type").alias("filesystem"), value("Options").alias("options"))
+    return mounts.withColumn("name", F.regexp_replace("path", f"^{MOUNTS}", ""))
+
+
+QUERIES = {f.__name__: f for f in (list_keys, list_traffic_controls, list_domains, list_realms, list_tfa, list_services, node_status, gc_status, list_sync_jobs, list_tape_jobs, list_changers, drive_inventory, list_metric_servers, list_datastore_mounts)}
 
 _REALMS = "r AS (SELECT 'realm' || c_custkey AS realm, ['ldap', 'ad', 'openid'][c_custkey % 3 + 1] AS type, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS comment, c_custkey = 7 AS \"default\" FROM customer)"
 
@@ -157,4 +182,7 @@ g AS (SELECT p.pool, coalesce(n.label, (SELECT label FROM n WHERE pool IS NULL A
 SELECT s_name AS job, 'Brand#' || (s_suppkey % 7 + 1) AS pool, 'store' || (s_suppkey % 5) AS store, last, next_medium FROM supplier LEFT JOIN t ON t.store = 'store' || (s_suppkey % 5) LEFT JOIN g ON g.pool = 'Brand#' || (s_suppkey % 7 + 1)""",
     "list_changers": "SELECT s_name AS changer, '/dev/sg' || s_suppkey AS path, CASE WHEN s_acctbal > 4000 THEN 'vendor' || (s_suppkey % 3) END AS vendor, CASE WHEN s_acctbal > 4000 THEN upper(s_name) END AS model FROM supplier WHERE s_acctbal > 2000",
     "drive_inventory": oracle("v_media") + "SELECT l.label, uuid FROM (SELECT CASE p_partkey % 10 WHEN 1 THEN 'X' || p_partkey ELSE 'T' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS label FROM part WHERE p_partkey % 4 > 1 AND p_partkey % 10 <> 0) l LEFT JOIN v_media m ON m.label = l.label",
+    "list_metric_servers": "SELECT s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'influxdb-udp' ELSE 'influxdb-http' END AS type, CASE WHEN s_suppkey % 3 = 0 THEN 'metrics' || s_suppkey || ':8089' ELSE 'https://metrics' || s_suppkey || ':8086' END AS server, s_suppkey % 5 <> 0 AS enable, CASE WHEN s_suppkey % 4 <> 0 THEN 'comment ' || s_suppkey END AS comment FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0",
+    "list_datastore_mounts": """SELECT '/etc/systemd/system/mnt-datastore-disk' || s_suppkey || '.mount' AS unitfile, '/dev/disk/by-uuid/' || md5(s_name) AS device, CASE WHEN s_suppkey % 7 = 0 THEN '/srv/' ELSE '/mnt/datastore/' END || 'disk' || s_suppkey AS path,
+CASE WHEN s_suppkey % 2 = 0 THEN 'xfs' ELSE 'ext4' END AS filesystem, CASE WHEN s_suppkey % 3 <> 0 THEN 'defaults' END AS options, CASE WHEN s_suppkey % 7 = 0 THEN '/srv/' ELSE '' END || 'disk' || s_suppkey AS name FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0""",
 }
