@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalar
-from tidemark.operators import access, chunking, chunkstore, diffing, hierarchy, listing, network, rangejoin, tapes, timeseries
+from tidemark.operators import access, chunking, chunkstore, diffing, hierarchy, listing, network, rangejoin, syncing, tapes, timeseries
 
 
 def test_chunker_is_the_same_for_whole_and_parts():
@@ -246,3 +246,40 @@ def test_hmac(spark):
     for key in (b"k", b"long" * 40):
         got = spark.createDataFrame([("héllo",), ("",)], "m string").select(chunking.hmac_sha256(key, F.col("m"))).collect()
         assert [r[0] for r in got] == [hmac.new(key, m.encode(), hashlib.sha256).hexdigest() for m in ("héllo", "")]
+
+
+def test_runs_of_known_chunks_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(chunkstore, "STRETCH", 4)
+    rng = np.random.default_rng(5)
+    rows = [(s, i, f"d{rng.integers(0, 12)}") for s in range(3) for i in range(40)] + [(3, 0, "d1"), (4, 0, "new")]
+    got = chunkstore.known_runs(spark.createDataFrame(rows, "sid long, pos long, digest string"), spark.createDataFrame([("d1",), ("d1",)], "digest string"), "sid", "pos", 3).collect()
+    want, run, place, before = {}, 0, 0, set()
+    for s, i, d in rows:
+        if not i:
+            run, place, before = 0, 0, set()
+        if d == "d1" or d in before:
+            want[s, i] = True, run, place // 3
+            place += 1
+        else:
+            want[s, i] = False, None, None
+            run, place = run + 1, 0
+        before.add(d)
+    assert {(r.sid, r.pos): (r.known, r.run, r.batch) for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("last", [None, 0, 1, 3, 200])
+def test_transfers_by_group(spark, last):
+    remote = [(g, t * 10) for g, n in (("a", 100), ("b", 2), ("c", 5), ("d", 4)) for t in range(n)]
+    synced = {"a": 300, "b": 500, "c": 0}
+    df = spark.createDataFrame(remote, "id string, time long")
+    got = syncing.transfer_plan(df, spark.createDataFrame(list(synced.items()), "id string, time long"), ["id"], "time", last)
+    assert got.columns == ["id", "time", "action"]
+    want = {}
+    for g in "abcd":
+        times, skipped = [t for x, t in remote if x == g], False
+        for k, t in enumerate(times):
+            old = t < synced.get(g, -1)
+            over = last is not None and len(times) - k > last and not skipped
+            want[g, t] = "skip-synced" if old else "skip-last" if over else "transfer"
+            skipped = old
+    assert {(r.id, r.time): r.action for r in got.collect()} == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DAY = 86400
 SAFETY = 300  # seconds taken off the sweep's threshold
+STRETCH = 4096  # places of a stream that a task looks at together
 
 
 def with_offsets(entries: DataFrame, index: str, order: tuple[str, ...], size: str = "size", stretch: Column | None = None) -> DataFrame:
@@ -87,13 +88,29 @@ def insert(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def known_runs(entries: DataFrame, known: DataFrame, stream: str, order: str, batch: int = 64) -> DataFrame:
-    """Upload plan: each entry is new or known (stored before, or earlier in its stream), and adjacent known ones share a batch of batch at most."""
+    """Upload plan: each entry is new or known (stored before, or earlier in its stream), and adjacent known ones share a batch of batch at most.
+
+    order is a whole number, an entry's place in its stream; no stream is null, and null digests are new. A stream is looked at by stretches of STRETCH places first, so that one of any size is dealt
+    out; a task holds a stretch of it.
+    """
     seen = known.select("digest").distinct().withColumn("_known", F.lit(True))
-    w = Window.partitionBy(stream).orderBy(order)
-    out = entries.join(seen, "digest", "left").withColumn("known", F.coalesce("_known", F.lit(False)) | (F.row_number().over(Window.partitionBy(stream, "digest").orderBy(order)) > 1)).drop("_known")
-    out = out.withColumn("_run", F.sum(F.when(F.col("known"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(stream, "known", "_run").orderBy(order)) - 1
-    return out.withColumn("run", F.when(F.col("known"), F.col("_run"))).withColumn("batch", F.when(F.col("known"), F.floor(place / batch))).drop("_run")
+    own = entries.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+    first = own.groupBy(stream, "digest", "_stretch").agg(F.min(order).alias("_first"))
+    first = first.withColumn("_first", F.min("_first").over(Window.partitionBy(stream, "digest")))
+    out = own.join(seen, "digest", "left").join(first, [stream, "digest", "_stretch"], "left")
+    out = out.withColumn("known", F.coalesce("_known", F.col(order) > F.col("_first"), F.lit(False)))
+    w = Window.partitionBy(stream, "_stretch").orderBy(order)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    # rank: place among the stretch's entries; last: that of the last new one so far
+    out = out.withColumn("_rank", F.row_number().over(w)).withColumn("_new", F.count_if(~F.col("known")).over(up)).withColumn("_last", F.max(F.when(~F.col("known"), F.col("_rank"))).over(up))
+    before = Window.partitionBy(stream).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    parts = out.groupBy(stream, "_stretch").agg(F.count("*").alias("_n"), F.max("_new").alias("_news"), F.max("_last").alias("_end"))
+    parts = parts.withColumn("_ranks", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_runs", F.coalesce(F.sum("_news").over(before), F.lit(0)))
+    parts = parts.select(stream, "_stretch", "_ranks", "_runs", F.coalesce(F.max(F.col("_ranks") + F.col("_end")).over(before), F.lit(0)).alias("_ended"))
+    out = out.join(parts, [stream, "_stretch"])
+    place = F.col("_ranks") + F.col("_rank") - F.coalesce(F.col("_ranks") + F.col("_last"), F.col("_ended")) - 1
+    run, part = F.col("_runs") + F.col("_new"), F.floor(place / batch)
+    return out.select(*entries.columns, "known", F.when(F.col("known"), run).alias("run"), F.when(F.col("known"), part).alias("batch"))
 
 
 def upload_report(entries: DataFrame, stream: str = "sid") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts that a group's rows are dealt over.
+SALTS = 64
+
 
 def fetch_set(needed: DataFrame, present: DataFrame, key: str = "digest") -> DataFrame:
     """Distinct needed keys that aren't present."""
@@ -21,15 +24,23 @@ def transfer_plan(remote: DataFrame, last_synced: DataFrame, group: list[str], t
     """Adds action to the source's snapshots: skip-synced, skip-last or transfer.
 
     last_synced has the newest local time of each group. Rows up to it are skipped, but the newest of them is looked at again; with
-    transfer_last only the newest so many are transferred, except that the first row after skipped ones always is.
+    transfer_last only the newest so many are transferred, except that the first row after skipped ones always is. Rows of equal times in a
+    group are treated alike. No task holds a group: it gives sums and, by salt, its newest rows.
     """
-    w = Window.partitionBy(*group).orderBy(time)
     out = remote.join(last_synced.withColumnRenamed(time, "_last"), group, "left")
-    out = out.withColumn("_old", F.coalesce(F.col(time) < F.col("_last"), F.lit(False)))
-    out = out.withColumn("_after", F.coalesce(F.lag("_old").over(w), F.lit(False)) & ~F.col("_old"))
-    back = F.count("*").over(Window.partitionBy(*group)) - F.row_number().over(w)
-    over = F.lit(False) if transfer_last is None else (back >= transfer_last) & ~F.col("_after")
-    return out.withColumn("action", F.when(F.col("_old"), "skip-synced").when(over, "skip-last").otherwise("transfer")).drop("_last", "_old", "_after")
+    old = F.coalesce(F.col(time) < F.col("_last"), F.lit(False))
+    action = F.when(old, "skip-synced")
+    if transfer_last is not None:
+        bounds = out.groupBy(*group).agg(F.count_if(old).alias("_olds"), F.min(F.when(~old, F.col(time))).alias("_next"))
+        newest = remote.select(*group, time).withColumn("_salt", F.pmod(F.xxhash64(time), F.lit(SALTS)))
+        back = F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(F.desc(time)))
+        newest = newest.withColumn("_back", back).where(F.col("_back") <= transfer_last).drop("_back", "_salt")
+        # the oldest of the newest so many
+        newest = newest.withColumn("_back", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(time)))).where(F.col("_back") <= transfer_last)
+        out = out.join(bounds.join(newest.groupBy(*group).agg(F.min(time).alias("_least")), group, "left"), group, "left")
+        after = (F.col("_olds") > 0) & (F.col(time) == F.col("_next"))
+        action = action.when(F.coalesce(F.col(time) < F.col("_least"), F.lit(transfer_last < 1)) & ~after, "skip-last")
+    return out.select(*remote.columns, action.otherwise("transfer").alias("action"))
 
 
 def skipped(planned: DataFrame, group: list[str], time: str) -> DataFrame:
