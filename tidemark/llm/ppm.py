@@ -29,6 +29,8 @@ ORDER = 5
 PART = 150_000
 #: Rows of a run: its distinct words and codes are in memory together, its texts aren't.
 RUN = 8_192
+#: Parts for each run.
+SPREAD = 4
 #: Words, and codes, that a task counts before it passes the counts on.
 HELD = 500_000
 HELD_CODES = 1_500_000
@@ -329,8 +331,9 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = part(words.join(totals, "word"), 0, c=F.col("c").cast("double"), x=F.col("word"))
     chance = part(counted.where("kind = 1").join(chances, "key"), 1, key=F.col("key"), c=F.col("p").cast("double"))
     texts = part(rows, 2, key=F.col("id"), x=F.col("t").cast("binary"))
-    runs = max(1, min(counted.select("run").distinct().count(), 1 << 15))
-    dealt = known.unionByName(chance).unionByName(texts).repartition(runs, "run").sortWithinPartitions("run", "kind")
+    # more parts than runs: dealt by hash into as many parts as there are, several runs would often share one, which then spills
+    parts = max(1, min(SPREAD * counted.select("run").distinct().count(), 1 << 15))
+    dealt = known.unionByName(chance).unionByName(texts).repartition(parts, "run").sortWithinPartitions("run", "kind")
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
