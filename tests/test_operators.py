@@ -283,3 +283,22 @@ def test_transfers_by_group(spark, last):
             want[g, t] = "skip-synced" if old else "skip-last" if over else "transfer"
             skipped = old
     assert {(r.id, r.time): r.action for r in got.collect()} == want
+
+
+def test_sessions_end_after_just_the_gap(spark, tmp_path):
+    """As the query's SQL has it: exactly six hours later is a new session, and an event without a time is one of its own."""
+    import duckdb
+
+    from tidemark.plans import extensions
+
+    times = {1: [0, 21599, 43199, 64798], 2: [5, 21604, 21605, 43205], 3: [None, 10, None, 10], None: [7, None, 21607]}
+    rows = ", ".join(f"({'NULL' if u is None else u}, {'NULL' if t is None else f'make_timestamp({1704067200 + t}500000)'})" for u, ts in times.items() for t in ts)
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT CAST(u AS BIGINT) AS user_id, t AS ts FROM (VALUES {rows}) v(u, t)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    key = lambda r: tuple((v is not None, v or 0) for v in r)
+    got = extensions.ext_session_window(spark, str(tmp_path))
+    want = con.sql(extensions.ORACLE["ext_session_window"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
+    assert got.where("user_id = 1").count() == 2 and got.where("user_id = 3").count() == 3

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rangejoin import asof_join
+from ..operators.timeseries import sessions
 from ..sources import views
 from ..sources.views import oracle
 
@@ -26,10 +27,8 @@ def ext_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users' events with gaps of six hours."""
-    e = views.table(spark, sf_dir, "events").select("user_id", F.timestamp_seconds(views.epoch("ts")).alias("t"))
-    s = e.groupBy("user_id", F.session_window("t", "6 hours").alias("w")).agg(F.count("*").alias("n"))
-    return s.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
+    """Sessions of users' events; six hours without any end one."""
+    return sessions(views.table(spark, sf_dir, "events").select("user_id", views.epoch("ts").alias("t")), "user_id", "t", 21600)
 
 
 def ext_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
