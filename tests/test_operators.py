@@ -302,3 +302,24 @@ def test_sessions_end_after_just_the_gap(spark, tmp_path):
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
     assert got.where("user_id = 1").count() == 2 and got.where("user_id = 3").count() == 3
+
+
+def test_rules_are_worked_out_once(spark, tmp_path):
+    """The plan keeps its size where a filter on the rule is pushed down: it held 800000 characters and thousands of regular expressions a row."""
+    import duckdb
+
+    from tidemark.plans import flows
+
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT CASE WHEN i % 10 > 0 THEN i END AS event_id, make_timestamp(1704067200000000 + i * 3599000000) AS ts, i * 37 AS user_id,
+        'view' AS event_type, CAST(i AS DOUBLE) AS value FROM range(400) r(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = flows.current_traffic(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(flows.ORACLE["current_traffic"]).fetchall())
+    rules = [{"name": "six", "networks": ["2001:db8::/33", "bad"]}, {"name": "all6", "networks": ["::/0"]}, {"name": "day", "networks": ["10.0.0.0/8"], "timeframes": ["8-12"]}]
+    peers = spark.range(1).select(F.concat(F.lit("10.0.0."), F.col("id").cast("string")).alias("ip"), (F.col("id") + 9 * 3600).alias("now"))
+    named = network.longest_prefix(peers, rules).where("rule IS NOT NULL")
+    assert [(r["rule"], r["match_len"]) for r in named.collect()] == [("day", 8)]
+    assert network.longest_prefix(peers, []).first()["rule"] is None
+    for df in (got, named):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20000

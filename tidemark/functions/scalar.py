@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,32 +76,40 @@ def physical_nic(name: Column) -> Column:
     return name.rlike(r"^(?:eth\d+|en[^:.]+|ib[^:.]+)$")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is worked out once a row however often f uses it: the optimizer, which copies what a name stands for, leaves lambda variables alone."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ipv4(text: Column) -> Column:
     """An IPv4 address as a number; an IPv4-mapped IPv6 one counts as IPv4; null for others."""
-    plain = F.regexp_replace(text, "(?i)^::ffff:", "")
     shape = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    part = lambda i: F.nullif(F.regexp_extract(plain, shape, i), F.lit("")).try_cast("bigint")
-    parts = [part(i) for i in range(1, 5)]
-    good = plain.rlike(shape)
-    for p in parts:
-        good = good & (p <= 255)
-    return F.when(good, parts[0] * (1 << 24) + parts[1] * (1 << 16) + parts[2] * (1 << 8) + parts[3])
+
+    def number(plain: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(plain, F.lit(r"\d+"), F.lit(0)), lambda p: p.try_cast("bigint"))
+        return F.when(plain.rlike(shape), F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: F.when(p <= 255, n * 256 + p)))
+
+    return once(F.regexp_replace(text, "(?i)^::ffff:", ""), number)
 
 
 def _ipv6_bits(text: Column) -> Column:
     """128 digits of an IPv6 address, null for others; one :: stands for groups of zeros."""
-    halves = F.split(text, "::")
     groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    short = F.size(halves) == 2
-    whole = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))), right)).otherwise(left)
-    good = text.rlike("^[0-9A-Fa-f:]+$") & (F.size(halves) <= 2) & ~text.rlike(":::|^:[^:]|[^:]:$") & (F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4) & (~short | (F.size(left) + F.size(right) < 8))
-    return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+
+    def spread(halves: Column) -> Column:
+        sides = F.struct(F.size(halves).alias("n"), groups(F.get(halves, F.lit(0))).alias("left"), groups(F.get(halves, F.lit(1))).alias("right"))
+        zeros = lambda s: F.array_repeat(F.lit("0"), F.greatest(8 - F.size(s["left"]) - F.size(s["right"]), F.lit(0)))
+        short = lambda s: F.when(F.size(s["left"]) + F.size(s["right"]) < 8, F.concat(s["left"], zeros(s), s["right"]))
+        return once(sides, lambda s: F.when(s["n"] == 1, s["left"]).when(s["n"] == 2, short(s)))
+
+    digits = lambda whole: F.when((F.size(whole) == 8) & F.forall(whole, lambda g: F.length(g) <= 4), F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), ""))
+    good = text.rlike("^[0-9A-Fa-f:]+$") & ~text.rlike(":::|^:[^:]|[^:]:$")
+    return F.when(good, once(once(F.split(text, "::"), spread), digits))
 
 
 def address_bits(text: Column) -> Column:
     """An address as binary digits: 32 of an IPv4 one (or an IPv4-mapped IPv6 one), 128 of an IPv6 one, null for others."""
-    return F.coalesce(F.lpad(F.bin(ipv4(text)), 32, "0"), _ipv6_bits(text))
+    return once(text, lambda t: F.coalesce(F.lpad(F.bin(ipv4(t)), 32, "0"), _ipv6_bits(t)))
 
 
 def network_bits(cidr: Column) -> tuple[Column, Column]:

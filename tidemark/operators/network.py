@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import in_duration
-from ..functions.scalar import address_bits, network_bits
+from ..functions.scalar import address_bits, network_bits, once
 
 #: Severities in order.
 SEVERITIES = ("info", "notice", "warning", "error")
@@ -22,16 +22,22 @@ def active_rules(rules: list[dict], now: Column) -> list[tuple[int, dict, Column
 def longest_prefix(peers: DataFrame, rules: list[dict], ip: str = "ip", now: str = "now") -> DataFrame:
     """Adds rule and match_len: the rule in force with the longest network that holds the peer's address; the first of equal ones.
 
-    Rules are few and given as a list, so they become one expression and no join.
+    Rules are few and given as a list, so they become one expression and no join; their networks are worked out first, and each row's address and hour once.
     """
-    options = []
-    for i, rule, on in active_rules(rules, F.col(now)):
-        for cidr in rule["networks"]:
-            prefix, family = network_bits(F.lit(cidr))
-            inside = on & (F.length("_bits") == family) & F.startswith("_bits", prefix)
-            options.append(F.when(inside, F.struct(F.length(prefix).alias("match_len"), F.lit(-i).alias("place"), F.lit(rule["name"]).alias("rule"))))
-    best = F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    return peers.withColumn("_bits", address_bits(F.col(ip))).withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("match_len", F.col("_best.match_len")).drop("_best", "_bits")
+    networks = [(i, cidr) for i, rule in enumerate(rules) for cidr in rule["networks"]]
+    given = peers.sparkSession.createDataFrame(networks, "rule int, network string").coalesce(1)
+    known = given.select("rule", *network_bits(F.col("network"))).toDF("rule", "prefix", "family").where("prefix IS NOT NULL").collect()
+
+    def best(peer: Column) -> Column:
+        options = [F.lit(None).cast("struct<match_len: int, place: int, rule: string>")]
+        for i, rule, on in active_rules(rules, peer["now"]):
+            for prefix, family in [(n["prefix"], n["family"]) for n in known if n["rule"] == i]:
+                inside = (F.length(peer["bits"]) == family) & F.startswith(peer["bits"], F.lit(prefix)) & on
+                options.append(F.when(inside, F.struct(F.lit(len(prefix)).alias("match_len"), F.lit(-i).alias("place"), F.lit(rule["name"]).alias("rule"))))
+        return F.array_max(F.array(*options))
+
+    peer = F.struct(address_bits(F.col(ip)).alias("bits"), F.col(now).alias("now"))
+    return peers.withColumn("_best", once(peer, best)).withColumn("rule", F.col("_best.rule")).withColumn("match_len", F.col("_best.match_len")).drop("_best")
 
 
 def longest_prefix_join(peers: DataFrame, networks: DataFrame, ip: str = "ip") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ipv4
+from ..functions.scalar import ipv4, once
 from ..operators import network
 from ..sources import views
 from ..sources.views import oracle
@@ -28,8 +28,8 @@ MATCHERS = [
 
 
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, u = views.tasks(spark, sf_dir), F.regexp_extract("user", r"(\d+)", 1).cast("int")
-    ip = F.when(u % 7 == 0, F.concat(F.lit("127.0.0."), (u % 250).cast("string"))).when(u % 7 == 1, F.concat(F.lit("::ffff:10.0.0."), (u % 40).cast("string"))).when(u % 7 == 2, "2001:db8::1").when(u % 7 == 3, F.concat(F.lit("10.0."), (u % 3).cast("string"), F.lit(".35"))).otherwise(F.concat(F.lit("192.168.1."), (u % 250).cast("string")))
+    t, user = views.tasks(spark, sf_dir), F.regexp_extract("user", r"(\d+)", 1).cast("int")
+    ip = once(user, lambda u: F.when(u % 7 == 0, F.concat(F.lit("127.0.0."), (u % 250).cast("string"))).when(u % 7 == 1, F.concat(F.lit("::ffff:10.0.0."), (u % 40).cast("string"))).when(u % 7 == 2, "2001:db8::1").when(u % 7 == 3, F.concat(F.lit("10.0."), (u % 3).cast("string"), F.lit(".35"))).otherwise(F.concat(F.lit("192.168.1."), (u % 250).cast("string"))))
     return t.select("task", ip.alias("ip"), F.col("start").alias("now"))
 
 
@@ -47,7 +47,8 @@ def current_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules with the rates of the tasks that they hold for; some have none."""
     rules = spark.createDataFrame([(r["name"],) for r in TRAFFIC] + [("idle",)], "rule string")
     hit = network.longest_prefix(_peers(spark, sf_dir), TRAFFIC)
-    rates = hit.groupBy("rule").agg(F.sum("task").alias("rate_in"), F.count("*").alias("rate_out"))
+    named = hit.select(F.coalesce("rule", F.lit("")).alias("rule"), "task")  # never null, or the join would push a filter down that works rules out a second time
+    rates = named.groupBy("rule").agg(F.sum("task").alias("rate_in"), F.count("task").alias("rate_out"))
     return network.rule_rates(rules, rates)
 
 
