@@ -168,3 +168,26 @@ def test_one_of_each_group_stays(spark, monkeypatch, tile):
     else:  # dealt into tiles of two, some copies need more rounds than there are; nothing else may go
         assert set(want) <= set(got)
     assert sum(r["doc_id"] is None for r in out) == 2 and set(out[0].asDict()) == {"doc_id", "text", "fp", "id"}
+
+
+def test_rounds_of_components_are_small_plans_without_broadcasts(spark, monkeypatch):
+    """Each broadcast table and each copy of a step in a plan costs the driver memory."""
+    plans, write = [], components.stash
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(components, "stash", seen)
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(20)]
+    edges += [(edges[0][1], edges[0][0]), (5, 5), (None, 7)]
+    up = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in up:
+        for a, b in edges:
+            if a in up and b in up and a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted(up.items())
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    assert max(p.count("FileScan parquet") for p in plans) <= 6

@@ -93,12 +93,13 @@ SALTS = 64
 def group_value(df: DataFrame, keys: list[str], column: str, part: Callable, whole: Callable, name: str) -> DataFrame:
     """Adds name: an aggregate of column over the rows of equal keys, as part() by salt and whole() over the parts.
 
-    A hot group's rows are dealt over SALTS keys in the join too. Keys must not be null.
+    A hot group's rows are dealt over SALTS keys in the join too. Keys must not be null. Both joins are merged: each small table
+    sent to all executors would take a few MB of the driver, and components() makes dozens of them.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(column)), F.lit(SALTS)).cast("int"))
     parts = salted.groupBy(*keys, "_salt").agg(part(column).alias("_part"))
     total = parts.groupBy(*keys).agg(whole("_part").alias(name))
-    return salted.join(parts.join(total, keys).select(*keys, "_salt", name), [*keys, "_salt"]).drop("_salt")
+    return salted.join(parts.join(total.hint("merge"), keys).select(*keys, "_salt", name).hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .common import forget, group_value, stash
 
 
+def _pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """Rows (u, v): for each row of df, its two columns of each pair."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns])).alias("x")).select("x.u", "x.v")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds least: the smallest of u and its neighbours v."""
     return group_value(edges, ["u"], "v", F.min, F.min, "least").withColumn("least", F.least("least", "u"))
@@ -24,11 +29,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        small = _with_least(large)
-        down = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", "least"))
-        new = stash(down.where("u <> v").distinct(), "edges")
+        both = _pairs(now, ("u", "v"), ("v", "u"))
+        # the steps are written one by one: group_value() reads its input three times, so two in one plan would read it nine times
+        large = stash(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct(), "stars")
+        new = stash(_pairs(_with_least(large), ("v", "least"), ("u", "least")).where("u <> v").distinct(), "edges")
+        forget(large)
         forget(now)
         now = new
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
